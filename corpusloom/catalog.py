@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans.graph_queries import GRAPH_QUERIES, lexical_rank
+from corpusloom.plans.report_queries import REPORT_QUERIES
+from corpusloom.plans.text_queries import TEXT_QUERIES
+
+ALL = TEXT_QUERIES | REPORT_QUERIES | GRAPH_QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return lexical_rank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql is not None}
