@@ -7,7 +7,8 @@ patterns estimates the prior and each labeller's accuracy in both classes.
 The posterior of a text's pattern is its soft label.  A linear scorer over
 hashed words is then trained on a bounded sample of texts
 (``max_training_docs`` with the smallest hashes) by full-batch gradient steps
-that Spark sums over the sample's partitions; it scores every whole text.
+that Spark sums over the sample's partitions; it scores every whole text.  A
+text is kept if the mean of posterior and score reaches the threshold.
 
 Defined results: a null text has no words, an empty feature vector and the
 score of the bias alone, and is not kept; repeated rows score alike; extra columns are kept; on
@@ -27,19 +28,23 @@ from .quality_rules import base_counts
 from .store import Scratch
 from .words import groups, words_of
 
-#: (measure, bad at or above, good at or below): each is one labeller
+#: (measure, bad at or above, good at or below): each is one labeller.  Most only know what is bad and
+#: abstain elsewhere; the last also knows good prose.
 LABELLERS = (
-    ("symbol_share", 0.02, 0.002),
-    ("repeat_share", 0.20, 0.02),
-    ("dup_line_share", 0.30, 0.02),
-    ("digit_share", 0.15, 0.05),
-    ("upper_share", 0.30, 0.15),
-    ("odd_word_length", 4.0, 2.0),
-    ("shortness", 0.10, 0.034),
-    ("rare_end", 0.05, 0.01),
+    ("symbol_share", 0.015, None),
+    ("repeat_share", 0.30, None),
+    ("dup_line_share", 0.50, None),
+    ("digit_share", 0.20, None),
+    ("upper_share", 0.30, None),
+    ("odd_word_length", 4.5, None),
+    ("shortness", 0.34, None),
+    ("odd_case", 0.25, 0.20),
 )
 
 
+MOST_FALSE_ALARMS = 0.003
+
+
 def measures(texts) -> pd.DataFrame:
     c = base_counts(texts)
     words = np.maximum(c["n_words"].to_numpy(), 1)
@@ -48,7 +53,7 @@ def measures(texts) -> pd.DataFrame:
     lines = np.array([t.count("\n") + 1 for t in raw])
     digits = np.array([sum(t.count(d) for d in "0123456789") for t in raw])
     upper = np.array([sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for t in raw])
-    ends = np.array([sum(map(t.count, ".!?;:,|")) for t in raw])
+    ends = np.array([sum(map(t.count, ".!?")) for t in raw])
     return pd.DataFrame(
         {
             "symbol_share": c["n_symbols"] / chars,
@@ -58,7 +63,8 @@ def measures(texts) -> pd.DataFrame:
             "upper_share": upper / chars,
             "odd_word_length": np.abs(chars / words - 5.5),
             "shortness": 1 / words,
-            "rare_end": 1 / (1 + ends),
+            # sentences begin with one capital: far more or fewer capitals than sentence ends are odd
+            "odd_case": np.abs(upper - ends) / words,
         }
     )
 
@@ -68,7 +74,7 @@ def votes(texts) -> np.ndarray:
     out = np.zeros((len(m), len(LABELLERS)), dtype=np.int64)
     for j, (name, bad, good) in enumerate(LABELLERS):
         v = m[name].to_numpy()
-        out[:, j] = np.where(v >= bad, -1, np.where(v <= good, 1, 0))
+        out[:, j] = np.where(v >= bad, -1, 0 if good is None else np.where(v <= good, 1, 0))
     return out
 
 
@@ -83,10 +89,12 @@ def votes_of(pattern: np.ndarray, labellers: int) -> np.ndarray:
 def estimate(pattern_votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
     """Prior of good, vote probabilities [class, labeller, vote + 1], posterior of good per pattern.
 
-    Starts from the majority of votes; the smoothing keeps labellers that never vote harmless.
+    Starts from "one bad vote is enough".  Labellers are taken to be better than chance: a good text
+    gets a labeller's bad vote with at most MOST_FALSE_ALARMS, which also keeps the classes from
+    changing places; the smoothing keeps labellers that never vote harmless.
     """
     k = pattern_votes.shape[1]
-    posterior = np.clip(0.5 + pattern_votes.sum(axis=1) / (2 * k), 0.05, 0.95)
+    posterior = np.where((pattern_votes < 0).any(axis=1), 0.1, 0.9)
     prior, rates = 0.5, np.full((2, k, 3), 1 / 3)
     for _ in range(rounds):
         prior = float(np.clip((n * posterior).sum() / n.sum(), 1e-3, 1 - 1e-3))
@@ -94,6 +102,9 @@ def estimate(pattern_votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tupl
             for v in (-1, 0, 1):
                 rates[c, :, v + 1] = (weight[:, None] * (pattern_votes == v)).sum(axis=0) + 1
             rates[c] /= rates[c].sum(axis=1, keepdims=True)
+        over = np.maximum(rates[1, :, 0] / MOST_FALSE_ALARMS, 1)
+        rates[1, :, 0] /= over
+        rates[1, :, 1:] *= ((1 - rates[1, :, 0]) / rates[1, :, 1:].sum(axis=1))[:, None]
         logs = np.log(rates)
         like = [logs[c, np.arange(k), pattern_votes + 1].sum(axis=1) for c in (0, 1)]
         gap = like[1] + np.log(prior) - like[0] - np.log(1 - prior)
@@ -150,7 +161,7 @@ def train(sample: DataFrame, posterior: dict[int, float], buckets: int, rounds:
         step = np.zeros(buckets)
         step[np.array(list(g), dtype=np.int64)] = np.array(list(g.values())) / n
         speed = 0.8 * speed + step - 1e-5 * weights
-        weights = weights + 8 * speed
+        weights = weights + 30 * speed
         bias += 2 * bias_speed
     return weights, bias
 
@@ -188,6 +199,5 @@ def classify_quality(
 
     out = docs.withColumn("_judged", judge(F.col(text_col)))
     out = out.withColumns({"weak_score": F.col("_judged.weak"), score_col: F.col("_judged.score")}).drop("_judged")
-    # the scorer generalises the votes; a text that most labellers call bad has a low posterior of its own
-    kept = (F.col(score_col) >= threshold) & (F.col("weak_score") >= threshold) & (F.length(text_col) > 0)
+    kept = ((F.col(score_col) + F.col("weak_score")) / 2 >= threshold) & (F.length(text_col) > 0)
     return out.withColumn("kept", F.coalesce(kept, F.lit(False)))
