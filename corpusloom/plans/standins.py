@@ -77,7 +77,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
     model = _pick(("gpt-4.1", "gpt-4.1-mini", "gpt-5.4", "gpt-5.4-mini", "other"), F.col("event_id"))
     cost = F.col("value").cast("decimal(18,6)")
-    return e.select("event_id", F.col("event_type").alias("request_type"), F.col("user_id").alias("document_id"), k.alias("tokens"), cost.alias("cost"), model.alias("model"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.col("ts").alias("created_at"))
+    return e.select("event_id", F.col("event_type").alias("request_type"), F.col("user_id").alias("document_id"), k.alias("tokens"), cost.alias("cost"), model.alias("model"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
 USAGE_SQL = """
