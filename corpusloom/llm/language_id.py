@@ -122,7 +122,9 @@ class Parser:
             roots.append(base)
             rows.append(block)
             base += len(states)
-        # state 0 is the first root, which no transition enters, so 0 can stand for none
+        # state 0 is the first root, which no transition enters, so 0 can stand for none;
+        # the last state has no transitions: a phrase begins after it
+        rows.append(np.zeros((1, width), dtype=np.int32))
         return cls(list(bags), symbols, width, np.concatenate(rows).ravel(), np.array(roots, dtype=np.int32))
 
     def _lanes(self, lanes: list[np.ndarray]) -> np.ndarray:
@@ -133,19 +135,19 @@ class Parser:
         for j, i in enumerate(order):
             chars[: lengths[j], j] = lanes[i]
         n = len(self.roots)
-        state = np.repeat(self.roots[:, None], len(order), axis=1)
-        phrases = np.ones((n, len(order)), dtype=np.int32)
+        end = len(self.table) // self.width - 1
+        state = np.full((n, len(order)), end, dtype=np.int32)
+        phrases = np.zeros((n, len(order)), dtype=np.int32)
+        # a letter that the language's sample lacks is a phrase of its own
         fresh = self.table[(self.roots * self.width)[:, None] + np.arange(self.width)]
-        roots = self.roots[:, None]
+        fresh[fresh == 0] = end
         alive = len(order) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         for i, m in enumerate(alive.tolist()):
             c = chars[i, :m]
             to = self.table[state[:, :m] * self.width + c]
             stop = to == 0
             phrases[:, :m] += stop
-            again = fresh[:, c]
-            # a letter that the language's sample lacks is a phrase of its own
-            np.copyto(to, np.where(again == 0, roots, again), where=stop)
+            np.copyto(to, fresh[:, c], where=stop)
             state[:, :m] = to
         out = np.empty((len(order), n), dtype=np.int32)
         out[order] = phrases.T
