@@ -208,3 +208,83 @@ GRAPH_QUERIES = {
     ),
     "claim_support": (claim_support, _values(((1, 1, 1.0), (2, 1, 0.0), (3, 0, 1.0)), "answer_id, n_claims, support")),
 }
+
+
+DECREE = "CHÍNH PHỦ\nSố: 10/2020/ND-CP\nHà Nội, ngày 5 tháng 3 năm 2020\nNGHỊ ĐỊNH\nQuy định chi tiết về đất đai\nCăn cứ Luật số 45/2019/QH14\nNghị định này có hiệu lực thi hành từ ngày 1/5/2020"
+CODE_LAW = "QUỐC HỘI\nSố: 45/2019/QH14\nBỘ LUẬT\nLao động\nngày 20 tháng 11 năm 2019\nHết hiệu lực từ ngày 31/12/2025"
+
+
+def metadata_infer(spark, sf):
+    from corpusloom.operators import metadata
+
+    d = spark.createDataFrame([(1, DECREE, "a.docx"), (2, CODE_LAW, None), (3, "", "291_2025_ND-CP.docx")], "doc_id long, text string, file_name string")
+    out = metadata.infer(d, F.lit("2026-01-15").cast("date"))
+    day = lambda c: F.col(c).cast("string").alias(c)
+    return out.select("doc_id", "document_code", "document_type", "issuing_authority", "authority_level", day("signed_date"), day("effective_date"), day("expiry_date"), "legal_status")
+
+
+INFERRED = (
+    (1, "10/2020/ND-CP", "nghi-dinh", "Chính phủ", "chinh-phu", "2020-03-05", "2020-05-01", None, "active"),
+    (2, "45/2019/QH14", "bo-luat", "Quốc hội", "quoc-hoi", "2019-11-20", "2025-12-31", "2025-12-31", "expired"),
+    (3, "291/2025/ND-CP", "nghi-dinh", "Chính phủ", "chinh-phu", None, None, None, "active"),
+)
+ENTITIES = (
+    (1, "e1", "ARTICLE", "Điều 1", 0, "1", None, None), (1, "e2", "CLAUSE", "1.", 10, "1", "1", None), (1, "e3", "POINT", "a)", 20, "1", "1", "a"), (1, "e4", "ARTICLE", "Điều 2", 30, "2", None, None), (1, "e5", "POINT", "b)", 40, "2", None, "b"),
+)
+
+
+def annotation_bundle(spark, sf):
+    from corpusloom.operators import annotation
+
+    e = spark.createDataFrame(ENTITIES, "doc_id long, entity_id string, label string, text string, start int, a string, c string, p string")
+    attributes = F.map_filter(F.create_map(F.lit("article_number"), F.col("a"), F.lit("clause_number"), F.col("c"), F.lit("point_code"), F.col("p")), lambda k, v: v.isNotNull())
+    e = e.withColumn("attributes", attributes).withColumn("normalized_value", F.lit(None).cast("string"))
+    return annotation.import_provisions(e).select("entity_id", "seq", "parent_seq", "level", "citation_label", "sort_key")
+
+
+BUNDLE = (
+    ("e1", 1, None, "article", "Điều 1", "1|0000|00|000001"), ("e2", 2, 1, "clause", "Khoản 1 Điều 1", "1|1|00|000002"), ("e3", 3, 2, "point", "Điểm a Khoản 1 Điều 1", "1|1|a|000003"),
+    ("e4", 4, None, "article", "Điều 2", "2|0000|00|000004"), ("e5", 5, 4, "point", "Điểm b Điều 2", "2|0000|b|000005"),
+)
+
+
+def chunk_offsets(spark, sf):
+    """Offsets of messages in the joined text of their conversation."""
+    from corpusloom.operators import annotation
+
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
+    return annotation.source_text(c).select("doc_id", "chunk_index", "start", "stop")
+
+
+def edited_texts(spark, sf):
+    from corpusloom.operators import editing
+
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.sha2(editing.normalise_white_space(F.col("text")), 256).alias("spaced"), F.sha2(editing.drop_blank_lines(F.col("text")), 256).alias("dense"))
+
+
+def text_scores(spark, sf):
+    """Cleanliness, structure and chunk scores of the documents with their fallback chunks."""
+    from corpusloom.operators import quality
+
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    out = quality.text_scores(d, structure.fallback_chunks(d))
+    total = quality.direct_total(F.col("clean_score"), F.col("structure_score"), F.lit(15.0), F.col("chunk_score"))
+    return out.select("doc_id", "has_text", F.round("clean_score", 4).alias("clean_score"), F.round("structure_score", 4).alias("structure_score"), F.round("chunk_score", 4).alias("chunk_score"), quality.direct_label(total).alias("label"))
+
+
+GRAPH_QUERIES |= {
+    "metadata_infer": (metadata_infer, _values(INFERRED, "doc_id, document_code, document_type, issuing_authority, authority_level, signed_date, effective_date, expiry_date, legal_status")),
+    "annotation_bundle": (annotation_bundle, _values(BUNDLE, "entity_id, seq, parent_seq, level, citation_label, sort_key")),
+    "chunk_offsets": (
+        chunk_offsets,
+        """WITH c AS (SELECT conv_id AS doc_id, turn AS chunk_index, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations)
+        SELECT doc_id, chunk_index, start, start + n AS stop FROM c""",
+    ),
+    "edited_texts": (
+        edited_texts,
+        r"""SELECT doc_id, sha256(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '[ \t]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS spaced,
+        sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> ''), chr(10))) AS dense FROM documents""",
+    ),
+    "text_scores": (text_scores, None),
+}
