@@ -4,24 +4,21 @@ Vectors are quantised to integers, so scores are exact.  Candidates are dealt
 into blocks of bounded size; each block is an M-tree of paged nodes with a
 router, a covering radius and the distance to the parent's router.  Since
 q.x = q.c + q.(x - c) <= q.c + |q| d(x, c), a node's best score is at most
-q.router + |q| radius.  The search expands nodes by that bound, best first, and
-ends when no open bound reaches the k-th score.  Before a child's router is
+q.router + |q| radius.  Each query opens nodes by that bound, best first, and
+ends when no open bound reaches its k-th score.  Before a child's router is
 multiplied, the bound q.parent + |q| (d(parent, child) + radius) is tried, and
-within a leaf the stored d(x, router) plays the same part.  Ties: a node whose
-bound equals the k-th score is opened only if it holds a smaller id.
+within a page the stored d(x, router) plays the same part.  Queries that open
+the same node at the same step are multiplied together.
 
 Queries come in blocks too; each pair of blocks is one task group, and the best
-k of each are merged.  Defined results: vectors that are null, empty or hold
-null or non-finite components take no part; only vectors of one length are compared; a repeated id counts once
-(with its least vector) and never answers itself; extra columns are ignored;
-no vectors give no rows.
+k of each are merged, ties to the smaller id.  Defined results: vectors that are
+null, empty or hold null or non-finite components take no part; only vectors of
+one length are compared; a repeated id counts once (with its least vector) and
+never answers itself; extra columns are ignored; no vectors give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-from itertools import count
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,72 +26,104 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-PAGE = 64
-FANOUT = 16
+PAGE = 256
+FANOUT = 8
 FOUND = "query_id long, vec_id long, score long"
 
 
 class Node:
-    __slots__ = ("router", "radius", "parent_distance", "least_id", "children", "rows", "distances")
+    __slots__ = ("router", "radius", "parent_distance", "children", "rows", "distances")
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, parent: np.ndarray | None):
+    def __init__(self, x: np.ndarray, rows: np.ndarray, parent: np.ndarray | None):
         self.router = x[rows].mean(axis=0)
-        d = np.sqrt(((x[rows] - self.router) ** 2).sum(axis=1))
-        self.radius = float(d.max())
+        self.distances = np.sqrt(((x[rows] - self.router) ** 2).sum(axis=1))
+        self.radius = float(self.distances.max())
         self.parent_distance = 0.0 if parent is None else float(np.sqrt(((self.router - parent) ** 2).sum()))
-        self.least_id = int(ids[rows].min())
+        self.rows = rows
         self.children: list[Node] = []
-        self.rows, self.distances = rows, d
-        if len(rows) > PAGE and self.radius > 0:
-            # routers of the children: farthest points, each from those before
-            seeds, gap = [int(d.argmax())], np.full(len(rows), np.inf)
-            near = np.zeros(len(rows), dtype=np.int64)
-            for j in range(FANOUT):
-                e = np.sqrt(((x[rows] - x[rows[seeds[j]]]) ** 2).sum(axis=1))
-                near[e < gap] = j
-                gap = np.minimum(gap, e)
-                if gap.max() == 0:
-                    break
-                seeds.append(int(gap.argmax()))
-            self.children = [Node(x, ids, rows[near == j], self.router) for j in np.unique(near)]
+        if len(rows) <= PAGE:
+            return
+        if self.radius == 0:
+            self.children = [Node(x, part, self.router) for part in np.array_split(rows, -(-len(rows) // PAGE))]
+            return
+        # seeds of the children: each the farthest point from those before
+        seeds, gap = [int(self.distances.argmax())], np.full(len(rows), np.inf)
+        near = np.zeros(len(rows), dtype=np.int64)
+        for j in range(FANOUT):
+            e = np.sqrt(((x[rows] - x[rows[seeds[j]]]) ** 2).sum(axis=1))
+            near[e < gap] = j
+            gap = np.minimum(gap, e)
+            if gap.max() == 0:
+                break
+            seeds.append(int(gap.argmax()))
+        self.children = [Node(x, rows[near == j], self.router) for j in np.unique(near)]
 
 
 class MTree:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.ids = x, ids
-        self.root = Node(x, ids, np.arange(len(x)), None)
-
-    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, -id), of all ids but ``own``."""
-        length = float(np.sqrt(q @ q))
-        best: list[tuple[int, int]] = []
-        ticket = count()
-        slack = 1e-6 * (1 + length)
-        start = float(q @ self.root.router)
-        heap = [(-(start + length * self.root.radius), next(ticket), start, self.root)]
-        while heap:
-            bound, _, middle, node = heapq.heappop(heap)
-            floor = best[0][0] if len(best) == k else -np.inf
-            if -bound + slack < floor:
+        self.root = Node(x, np.arange(len(x)), None)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best of each query, of all ids but its own."""
+        n = len(queries)
+        self.q, self.own, self.k = queries, own, k
+        self.length = np.sqrt((queries**2).sum(axis=1))
+        self.slack = 1e-6 * (1 + self.length) * (1 + np.sqrt((self.x**2).sum(axis=1).max()))
+        self.best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        self.floor = np.full(n, -np.inf)
+        everyone = np.arange(n)
+        self._open(self.root, everyone, queries @ self.root.router)
+        return self.best
+
+    def _open(self, node: Node, who: np.ndarray, middle: np.ndarray) -> None:
+        """Searches a node for some queries, whose products with its router are ``middle``."""
+        if not node.children:
+            self._page(node, who, middle)
+            return
+        length, slack = self.length[who], self.slack[who]
+        at = np.full((len(who), len(node.children)), -np.inf)
+        for j, child in enumerate(node.children):
+            ask = middle + length * (child.parent_distance + child.radius) + slack >= self.floor[who]
+            at[ask, j] = self.q[who[ask]] @ child.router
+        top = at + length[:, None] * np.array([c.radius for c in node.children])
+        order = np.argsort(-top, axis=1, kind="stable")
+        for step in range(len(node.children)):
+            j = order[:, step]
+            bound = top[np.arange(len(who)), j]
+            go = (bound > -np.inf) & (bound + slack >= self.floor[who])
+            if not go.any():
                 break
-            if not node.children:
-                ok = np.flatnonzero(middle + length * node.distances + slack >= floor)
-                rows = node.rows[ok]
-                for s, i in zip((self.x[rows] @ q).tolist(), self.ids[rows].tolist()):
-                    if i == own or len(best) == k and (int(s), -i) <= best[0]:
-                        continue
-                    (heapq.heappushpop if len(best) == k else heapq.heappush)(best, (int(s), -i))
-                continue
-            for child in node.children:
-                floor = best[0][0] if len(best) == k else -np.inf
-                if middle + length * (child.parent_distance + child.radius) + slack < floor:
-                    continue
-                at = float(q @ child.router)
-                top = at + length * child.radius
-                if top + slack < floor or len(best) == k and child.least_id > -best[0][1] and top <= floor - slack:
-                    continue
-                heapq.heappush(heap, (-top, next(ticket), at, child))
-        return sorted(best, reverse=True)
+            for c in np.unique(j[go]):
+                mine = np.flatnonzero(go & (j == c))
+                self._open(node.children[c], who[mine], at[mine, c])
+
+    def _page(self, node: Node, who: np.ndarray, middle: np.ndarray) -> None:
+        floor = self.floor[who]
+        loose = (floor - self.slack[who] - middle) / np.maximum(self.length[who], 1e-300)
+        rows = node.rows[node.distances >= loose.min() - 1e-9]
+        if not len(rows):
+            return
+        scores = self.q[who] @ self.x[rows].T
+        scores[self.own[who][:, None] == self.ids[rows][None, :]] = -np.inf
+        if len(rows) > self.k:
+            least = np.partition(scores, len(rows) - self.k, axis=1)[:, len(rows) - self.k]
+            floor = np.maximum(floor, least)
+        a, b = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        kept = ~np.isin(self.best[0], who)
+        mine = [x[~kept] for x in self.best]
+        query = np.concatenate((mine[0], who[a]))
+        vector = np.concatenate((mine[1], self.ids[rows][b]))
+        score = np.concatenate((mine[2], scores[a, b].astype(np.int64)))
+        order = np.lexsort((vector, -score, query))
+        query, vector, score = query[order], vector[order], score[order]
+        start = np.searchsorted(query, query)
+        first = np.arange(len(query)) - start < self.k
+        query, vector, score = query[first], vector[first], score[first]
+        self.best = tuple(np.concatenate((x[kept], y)) for x, y in zip(self.best, (query, vector, score)))
+        full, n = np.unique(query, return_counts=True)
+        last = np.searchsorted(query, full, side="right") - 1
+        self.floor[full[n == self.k]] = score[last[n == self.k]]
 
 
 def _stack(vectors) -> np.ndarray:
@@ -103,15 +132,16 @@ def _stack(vectors) -> np.ndarray:
 
 def _search(k: int):
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
+        found = []
         if len(candidates) and len(queries):
             sizes, wanted = candidates["v"].map(len), queries["v"].map(len)
             for d in sorted(set(sizes) & set(wanted)):
                 part, asked = candidates[sizes == d], queries[wanted == d]
                 tree = MTree(_stack(part["v"]), part["vec_id"].to_numpy(dtype=np.int64))
-                for q, own in zip(_stack(asked["v"]), asked["vec_id"].to_numpy(dtype=np.int64).tolist()):
-                    rows += [(own, -i, s) for s, i in tree.search(q, own, k)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+                own = asked["vec_id"].to_numpy(dtype=np.int64)
+                query, vector, score = tree.search(_stack(asked["v"]), own, k)
+                found.append(pd.DataFrame({"query_id": own[query], "vec_id": vector, "score": score}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
 
@@ -132,7 +162,7 @@ def top_k(
     every: int = 50,
     k: int = 5,
     scale: int = 256,
-    block: int = 4096,
+    block: int = 8192,
     query_block: int = 2048,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: queries are the ids divisible by ``every``, candidates all other rows."""
