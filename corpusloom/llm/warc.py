@@ -29,6 +29,7 @@ from .store import Scratch
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+BROADCAST_RECORDS = 200_000
 CHUNK = "record long, page_id long, url string, chunk int, data binary, payload_bytes long, payload_digest string"
 READ = "record long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -100,7 +101,10 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = 1 <<
     decided = scratch.save(decided.join(urls, "record"), "decided")
     kind = F.when(F.col("repeats"), "revisit").otherwise("response")
     heads = decided.select("record", "page_id", "url", "payload_bytes", "payload_digest", kind.alias("kind"), F.when(F.col("repeats"), F.col("first_page")).alias("refers"))
-    stored = chunks.select("record", "chunk", "data").join(decided.where("repeats").select("record"), "record", "left_anti")
+    left_out = decided.where("repeats").select("record")
+    # few repeats are broadcast, so that payloads need no exchange here; many are joined by exchange
+    few = left_out.count() <= BROADCAST_RECORDS
+    stored = chunks.select("record", "chunk", "data").join(F.broadcast(left_out) if few else left_out, "record", "left_anti")
     archive = heads.mapInPandas(_headers, "record long, chunk int, data binary").unionByName(stored)
     out = scratch.save(archive, "archive")
     scratch.drop("payload")
