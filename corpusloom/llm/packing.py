@@ -8,8 +8,9 @@ full ones as go, then powers of two, which need no padding.
 
 Each task packs its own documents in bounded blocks while it tokenizes them, so
 tokens are never shuffled or stored.  A document's ids are those of its white-
-space separated words, since the tokenizer never joins words; frequent words
-are looked up.  ``sequence_id`` carries the partition in its upper bits.
+space separated words, since the tokenizer never joins words; words seen before
+are looked up, and new ones without case and closing mark if that is known.
+``sequence_id`` carries the partition in its upper bits.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each for itself; extra columns are ignored; no rows give no pieces.
@@ -26,33 +27,69 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+ENCODE_WORDS = 4096
+MARKS = frozenset(".,;:!?")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def is_letters(word: str) -> bool:
+    """Latin letters only, in lower case too: one run of letters to the tokenizer."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and word.lower().isalpha()))
+
+
 class WordTokenizer:
-    """Ids of whole texts from a cache of words; the tokenizer must drop white space between words."""
+    """Ids of whole texts from a cache of words.
+
+    The tokenizer must drop white space between words, fold case, and split words
+    into runs of letters and runs of marks, as ``word_bpe_49k.json`` does.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str | None, end_id: int) -> np.ndarray:
         words = text.replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if isinstance(text, str) else []
         known = self.ids
-        new = list({w for w in words if w not in known})
+        new = {w for w in words if w not in known}
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
+            if len(known) + 2 * len(new) > CACHE_WORDS:
                 known.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                known[""] = b""
+                new = set(words) - {""}
+            self._learn(new)
         return np.frombuffer(b"".join([known[w] for w in words]) + np.array([end_id], dtype="<u4").tobytes(), dtype="<u4")
 
+    def _learn(self, new: set[str]) -> None:
+        known, model, parts, letters, others = self.ids, self.tokenizer.model, [], set(), set()
+        for w in new:
+            core, mark = w.lower() if w.isascii() else w, ""
+            if core[-1] in MARKS and is_letters(core[:-1]):
+                core, mark = core[:-1], core[-1]
+            parts.append((w, core, mark))
+            if core not in known:
+                (letters if core.isascii() and core.isalpha() else others).add(core)
+            if mark and mark not in known:
+                others.add(mark)
+        # a run of ASCII letters goes to the model as it is
+        ids, ends = [], []
+        for w in letters:
+            ids += [t.id for t in model.tokenize(w)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, dtype="<u4").tobytes()
+        for w, a, b in zip(letters, [0, *ends], ends):
+            known[w] = raw[a:b]
+        rest = list(others)
+        for i in range(0, len(rest), ENCODE_WORDS):
+            part = rest[i : i + ENCODE_WORDS]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, core, mark in parts:
+            known[w] = known[core] + known[mark]
+
 
 def capacities(tokens: int, size: int) -> list[int]:
     """Full sequences, then powers of two: exactly ``tokens`` in all."""

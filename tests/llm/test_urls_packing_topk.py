@@ -63,6 +63,15 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_words_of_the_cache_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    own, whole = packing.WordTokenizer(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["Été, été. ÉTÉ! straße; İstanbul, ŉ. ª! ABC, abc abc. x.. it's! don't, 's, 12, a1. ,, .", "İ, ǅ, ﬁ, Ωσς, e\u0301, \u0301, ¿Qué? no: sí;", "", "!", "a"]
+    for t in texts * 2:
+        assert own.encode(t, 2).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_costs_are_balanced():
     r = random.Random(1)
     lengths = [int(min(4096, 30 * r.paretovariate(1))) for _ in range(3000)]
