@@ -10,7 +10,10 @@ from corpusloom.operators import identity, qa, quality, reports, retrieval, rule
 
 from .standins import DAY, DOCUMENTS_SQL, USAGE_SQL, documents, table, usage
 
-TODAY = F.lit(DAY).cast("date")
+
+def today():
+    """The reference date; a function, since a Column needs a session and this module is imported without one."""
+    return F.lit(DAY).cast("date")
 
 
 def _measured(spark, sf):
@@ -55,7 +58,7 @@ ISSUES_SQL = f"""
 
 
 def validity(spark, sf):
-    v = rules.validity(documents(spark, sf), TODAY)
+    v = rules.validity(documents(spark, sf), today())
     return v.select("id", "status", "is_effective", "is_authoritative", F.array_join("reasons", " | ").alias("reasons"))
 
 
@@ -64,7 +67,7 @@ def hierarchy(spark, sf):
 
 
 def conflict_pair(spark, sf):
-    d = documents(spark, sf).select("id", rules.effective(F.col("legal_status"), F.col("effective_date"), F.col("expiry_date"), TODAY).alias("valid"), rules.priority(F.col("document_type"), F.col("authority_level"), F.col("normative_level")).alias("priority"), "signed_date")
+    d = documents(spark, sf).select("id", rules.effective(F.col("legal_status"), F.col("effective_date"), F.col("expiry_date"), today()).alias("valid"), rules.priority(F.col("document_type"), F.col("authority_level"), F.col("normative_level")).alias("priority"), "signed_date")
     side = lambda p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in d.columns))
     pairs = side("l").join(side("r"), F.col("l_id") + 1 == F.col("r_id"))
     return rules.conflicts(pairs).select("l_id", "r_id", "winner_id", "basis")
@@ -72,7 +75,7 @@ def conflict_pair(spark, sf):
 
 def priority_boost(spark, sf):
     d = documents(spark, sf)
-    boost = retrieval.priority_boost(F.col("normative_level"), F.col("legal_status"), F.col("effective_date"), F.col("ocr_quality_label"), F.col("ocr_quality_score"), F.col("metadata_review_status"), TODAY)
+    boost = retrieval.priority_boost(F.col("normative_level"), F.col("legal_status"), F.col("effective_date"), F.col("ocr_quality_label"), F.col("ocr_quality_score"), F.col("metadata_review_status"), today())
     return d.select("id", boost.cast("int").alias("boost"), F.round(clamp(boost / 100, -0.12, 0.12), 4).alias("clamped"))
 
 
