@@ -22,9 +22,11 @@ form one class) and goes through two kinds of pivots.
   in regions that have become small, is compared set against set, without
   sets that are connected already.
 
-Members of a window that no other set has cannot be common, which bounds what a set
-can share with any other (its room); sets that lack room for every other set of a
-region leave it before anything is compared.
+A common shingle up to the end of the window that ends first lies in both windows, so two
+sets share at most the longer rest behind the windows and the regions that both are in;
+sets that cannot be linked with any other set of a region leave it before anything is compared.
+A window shingle of one set can lie behind the window of the other, so a bound of one set
+alone does not hold.
 
 A set comparison counts whole sets.  Before texts are fetched, the number of
 shared regions bounds the intersection from above and drops most candidates.
@@ -41,6 +43,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -263,32 +266,42 @@ class JaccardJoin:
         twice = forced.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
         shared = self.scratch.save(found.where("not forced").select("cell", "node", "n").unionByName(forced.join(twice, "cell")), "shared")
         for i in range(2):
-            shared = self.scratch.save(self.feasible(self.with_room(shared.select("cell", "node", "n"))), f"shared{i}")
+            shared = self.scratch.save(self.feasible(self.with_met(shared.select("cell", "node", "n"))), f"shared{i}")
         return shared
 
     def window_of(self, n):
         return n - F.floor((n * self.percent + 99) / 100).cast("long") + 1
 
-    def with_room(self, shared: DataFrame) -> DataFrame:
-        """Adds room: members of a set that can be in another one, as those alone in their region cannot."""
+    def with_met(self, shared: DataFrame) -> DataFrame:
+        """Adds met: the regions in which a set meets others."""
         met = shared.groupBy("node").agg(F.count("*").alias("met"))
-        return shared.join(met, "node").withColumn("room", F.col("n") - self.window_of(F.col("n")) + F.col("met")).drop("met")
+        return shared.join(met, "node")
 
-    def can_link(self, n, room, m, rest):
-        """Whether sets of sizes n and m with that much room can be within t."""
-        return F.least(room, rest) * (100 + self.percent) >= (n + m) * self.percent
+    def most(self, n, m, met):
+        """Upper bound of the intersection of sets of sizes n and m that share at most ``met`` regions."""
+        return F.least(F.greatest(n - self.window_of(n), m - self.window_of(m)) + met, n, m)
+
+    def can_link(self, n, met, m, rest):
+        """Whether sets of sizes n and m that meet others in so many regions can be within t."""
+        return self.most(n, m, F.least(met, rest)) * (100 + self.percent) >= (n + m) * self.percent
 
     def feasible(self, members: DataFrame) -> DataFrame:
         """Members of regions in which they can have a link.
 
-        Two sets that each lack room for a partner of their own size have none, so a set that
-        does stays only where another set has room.
+        A set can be linked with one that is not larger up to its reach.  With a larger one the rest
+        behind that one's window counts, which must be large enough for it.  Linked sets differ in size
+        by 100 / percent at most, so they are in the same or in neighbouring steps of sizes.
         """
-        rich = F.col("room") * (100 + self.percent) >= 2 * self.percent * F.col("n")
-        reach = F.floor(F.col("room") * (100 + self.percent) / self.percent) - F.col("n")
-        about = members.withColumns({"rich": rich, "reach": reach})
-        cells = about.where("rich").groupBy("cell").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
-        kept = about.join(cells, "cell").where("rich or (least <= reach and most >= n)").drop("rich", "reach", "least", "most")
+        p, n = self.percent, F.col("n")
+        reach = F.floor((n - self.window_of(n) + F.col("met")) * (100 + p) / p) - n
+        step = F.floor(F.ln(n) / (log(100 / p) + 1e-6)).cast("int")
+        about = members.withColumns({"reach": reach, "step": step})
+        steps = about.groupBy("cell", "step").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("reach").alias("far"))
+        steps = steps.groupBy("cell").agg(F.collect_list(F.struct("step", "least", "largest", "far")).alias("steps"))
+        below = lambda s: s["step"].between(F.col("step") - 1, F.col("step")) & (s["least"] <= F.col("reach")) & (s["largest"] * 100 >= n * p)
+        needed = 100 * (n * p - F.col("met") * (100 + p))
+        above = lambda s: s["step"].between(F.col("step"), F.col("step") + 1) & (s["far"] >= n) & (s["largest"] * (p * p) >= needed) & (s["least"] * p <= n * 100)
+        kept = about.join(steps, "cell").where((F.col("reach") >= n) | F.exists("steps", below) | F.exists("steps", above)).drop("reach", "step", "steps")
         twice = kept.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
         return kept.join(twice, "cell")
 
@@ -299,11 +312,9 @@ class JaccardJoin:
         """(a, b, na, nb, both) of the pairs; both is the intersection's size, or an upper bound that already rules a link out."""
         left = marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
         right = marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-        size = self.window_of
         shared = F.size(F.array_intersect("ca", "cb")).cast("long")
         na, nb = F.col("na"), F.col("nb")
-        bound = F.least(F.greatest(na - size(na), nb - size(nb)) + shared, na, nb)
-        bounded = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", bound.alias("both"))
+        bounded = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", self.most(na, nb, shared).alias("both"))
         bounded = self.scratch.save(bounded, f"{name}-bound")
         chance = self.near(na, nb, F.col("both"))
         open_pairs = bounded.where(chance).drop("both")
@@ -323,23 +334,23 @@ class JaccardJoin:
         t = 1 - self.percent / 100 + 1e-9
         distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
         linked = self.near(F.col("na"), F.col("nb"), F.col("both"))
-        members = shared.select("cell", "node", "n", "room", F.lit(None).cast("long").alias("star"), F.lit(None).cast("double").alias("d"))
+        members = shared.select("cell", "node", "n", "met", F.lit(None).cast("long").alias("star"), F.lit(None).cast("double").alias("d"))
         edges, waiting = [], []
         for i in range(rounds):
             # the set with most in common with its region is the most central
-            order = F.struct((-F.col("room") / F.col("n")).alias("o"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("room").alias("proom"))
-            pivots = members.where("star is null").groupBy("cell").agg(F.min(order).alias("pivot")).select("cell", "pivot.p", "pivot.pn", "pivot.proom")
+            order = F.struct(((self.window_of(F.col("n")) - F.col("met")) / F.col("n") - 1).alias("o"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("met").alias("pmet"))
+            pivots = members.where("star is null").groupBy("cell").agg(F.min(order).alias("pivot")).select("cell", "pivot.p", "pivot.pn", "pivot.pmet")
             met = self.scratch.save(members.drop("d").join(pivots, "cell").where("node <> p"), f"met{i}")
-            pairs = met.where(self.can_link(F.col("n"), F.col("room"), F.col("pn"), F.col("proom"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+            pairs = met.where(self.can_link(F.col("n"), F.col("met"), F.col("pn"), F.col("pmet"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
             seen = self.compare(pairs, marks, f"seen{i}")
             edges.append(seen.where(linked).select("a", "b"))
             known = seen.select(F.col("a").alias("node"), F.col("b").alias("p"), distance.alias("d"), linked.alias("linked"))
             told = met.join(known, ["node", "p"], "left")
-            most = F.least("room", "proom", "n", "pn")
+            most = self.most(F.col("n"), F.col("pn"), F.least("met", "pmet"))
             told = told.withColumn("d", F.coalesce("d", 1 - most / (F.col("n") + F.col("pn") - most))).withColumn("linked", F.coalesce("linked", F.lit(False)))
             told = self.scratch.save(told.withColumn("star", F.when(F.col("linked"), F.col("p")).otherwise(F.col("star"))), f"told-{i}")
             nearest = told.where("not linked").groupBy("cell").agg(F.min("d").alias("nearest"))
-            members = told.join(nearest, "cell").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - t)).select("cell", "node", "n", "room", "star", "d")
+            members = told.join(nearest, "cell").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - t)).select("cell", "node", "n", "met", "star", "d")
             members = self.feasible(members)
             own = F.coalesce("star", "node")
             counts = members.groupBy("cell").agg(F.count("*").alias("c"), F.count_if(F.col("star").isNull()).alias("free"), F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").drop("lo", "hi")
@@ -348,8 +359,8 @@ class JaccardJoin:
             if largest is None:
                 break
             ready = (F.col("free") == 0) if largest > self.cap and i + 1 < rounds or i == 0 else F.lit(True)
-            waiting.append(members.where(ready).select("cell", "node", "n", "room", "star", "d"))
-            members = members.where(~ready).select("cell", "node", "n", "room", "star", "d")
+            waiting.append(members.where(ready).select("cell", "node", "n", "met", "star", "d"))
+            members = members.where(~ready).select("cell", "node", "n", "met", "star", "d")
             if i and largest <= self.cap or not free:
                 break
         edges = reduce(DataFrame.unionByName, edges)
@@ -364,8 +375,8 @@ class JaccardJoin:
         # components that meet in a region, each two once; then their sets that are left
         met = rest.select("cell", "part", "root").distinct()
         both = met.withColumnRenamed("root", "ra").join(met.withColumnRenamed("root", "rb"), ["cell", "part"]).where("ra < rb").select("ra", "rb").distinct()
-        left = rest.select("root", "node", "n", "room").distinct()
-        side = lambda r, v: left.select(F.col("root").alias(r), F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("room").alias(f"o{v}"))
+        left = rest.select("root", "node", "n", "met").distinct()
+        side = lambda r, v: left.select(F.col("root").alias(r), F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("met").alias(f"o{v}"))
         pairs = both.join(side("ra", "a"), "ra").join(side("rb", "b"), "rb").where(self.can_link(F.col("na"), F.col("oa"), F.col("nb"), F.col("ob"))).select("a", "b").distinct()
         return edges.unionByName(self.compare(pairs, marks, "last").where(linked).select("a", "b"))
 

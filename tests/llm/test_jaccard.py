@@ -69,3 +69,13 @@ def test_empty_nulls_and_repeats(spark):
     got = jaccard_components(spark, spark.createDataFrame([(*d, 0) for d in docs], SCHEMA))
     rows = sorted(map(tuple, got.collect()), key=repr)
     assert (4, 56, 2) in rows and (None, 56, 2) in rows and (None, 2, None) in rows and (2, 57, 2) in rows and (4, 2, 4) in rows and len(rows) == 6
+
+
+def test_nested_sets_of_different_sizes(spark):
+    r, docs = random.Random(5), []
+    for i in range(60):
+        w = [f"p{i}w{j}" for j in range(r.randint(60, 130))]
+        n = len(w) - 4
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: -(-n * (80 + i % 9) // 100) + 4]))]
+    got = jaccard_components(spark, spark.createDataFrame([(*d, 0) for d in docs], SCHEMA))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(docs)
