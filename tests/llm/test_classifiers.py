@@ -32,6 +32,23 @@ def test_toxicity_on_held_out_texts(spark):
     assert right >= 0.97 * 200 and all(0 <= s <= 1 for s in got.values()) and got[1000] == got[1001] < 0.5
 
 
+def test_toxicity_of_a_rare_language(spark):
+    """One toxic text in ten is of the second language, and each of its insults is in few texts."""
+    r, rows = random.Random(4), []
+    for i in range(1500):
+        toxic, second = i % 5 == 0, i % 50 < 5
+        insults = [f"zut{j}" for j in range(6)] if second else ["idiot", "moron", "scum"]
+        text = bag(r, r.randint(40, 300), r.sample(insults, 2) if toxic else ())
+        rows.append((i, text.replace("w", "x") if second else text, int(toxic), second))
+    labelled = spark.createDataFrame([(t, y) for i, t, y, _ in rows if i < 1000], "text string, toxic int")
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _, _ in rows if i >= 1000], DOCS)
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(spark, docs, labelled).collect()}
+    for language in (False, True):
+        caught = [got[i] >= 0.5 for i, _, y, s in rows if i >= 1000 and y and s == language]
+        clean = [got[i] < 0.5 for i, _, y, s in rows if i >= 1000 and not y and s == language]
+        assert len(caught) >= 10 and sum(caught) >= 0.8 * len(caught) and sum(clean) >= 0.95 * len(clean)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "x")], DOCS)
     assert toxicity.score_toxicity(spark, docs, spark.createDataFrame([("a", 1)], "text string, toxic int")).first().score == 0
