@@ -35,12 +35,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of linked documents."""
-    found = jaccard_components(spark, docs)
-    kept = Scratch(spark, "kept").save(found.where("doc_id = component_id or component_id is null").select("doc_id").distinct(), "kept")
-    out = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The row with the least id of each group of linked rows."""
+    scratch = Scratch(spark, "kept")
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        found = jaccard_components(spark, docs)
+        kept = scratch.save(found.where("doc_id = component_id").select("doc_id"), "kept")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # an id that is null or of several rows names no row, so each row gets its own
+    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(spark, rows, id_col="_row").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = scratch.save(found.groupBy("component_id").agg(first.alias("first")).select("first._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,13 @@ def test_repeated_rows_and_nulls(spark):
         stage(spark, docs, SF).count()
         stage(spark, docs.limit(0), SF).count()
     assert corpus_pipeline.near_duplicates(spark, docs, SF).where("doc_id = 1").count() == 1
+
+
+def test_different_texts_of_one_id_stay(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (5, text["d"] + " z"), (None, text["c"] + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, text["a"]), (None, text["b"]), (7, text["c"]), (5, text["d"] + " z")], key=repr)
+    got = corpus_pipeline.near_duplicates(spark, docs.where("doc_id = 5 or text like 'd%' or text like 'a%'"), SF).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, text["a"]), (5, text["d"] + " z")], key=repr)
