@@ -13,7 +13,7 @@ from .packing import pack_documents
 from .quality_classifier import classify_quality
 from .quality_rules import judge_quality
 from .source_mixing import mix_sources
-from .store import bounded_batches
+from .store import bounded_batches, smallest_hashes
 from .topk_search import top_k
 from .toxicity import score_toxicity
 from .url_filters import judge_urls
@@ -47,9 +47,9 @@ def fold(id_col: str, folds: int):
 
 
 def some_labels(labels: DataFrame) -> DataFrame:
-    """At most MAX_TRAINING_DOCS labels, one per document, by hash."""
-    one = labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_DOCS)
-    return one.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    """About MAX_TRAINING_DOCS labels, one per document, by hash."""
+    one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    return smallest_hashes(one.withColumn("h", F.xxhash64("doc_id")), "h", MAX_TRAINING_DOCS).drop("h")
 
 
 def toxic_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:

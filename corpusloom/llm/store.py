@@ -10,12 +10,38 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_DIR = "/tmp/checkpoints/corpusloom"
+HASH_STEPS = 1 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_DIR
+    """The folder for intermediate tables; raises ValueError where executors could not share the default one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or DEFAULT_DIR
+
+
+def smallest_hashes(rows: DataFrame, hash_col: str, about: int) -> DataFrame:
+    """About ``about`` rows of distinct hashes, those below a threshold; all rows, if there are no more.
+
+    A count and a filter: no rows are sorted or sent to one task.
+    """
+    n = rows.count()
+    if n <= about:
+        return rows
+    return rows.where(F.pmod(F.col(hash_col), F.lit(HASH_STEPS)) < int(HASH_STEPS * about / n))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have (Spark compares names without case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 class Scratch:

@@ -61,6 +61,7 @@ class Words(NamedTuple):
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
+    beginnings: np.ndarray  # one row per length asked for: hash of the word's first bytes, 0 if it is not longer
 
 
 def word_spans(buf: np.ndarray, table: np.ndarray = _SPACE_TABLE) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +71,15 @@ def word_spans(buf: np.ndarray, table: np.ndarray = _SPACE_TABLE) -> tuple[np.nd
     return edges[0::2], edges[1::2]
 
 
-def hash_words(data: bytes, offsets: np.ndarray, table: np.ndarray = _SPACE_TABLE) -> Words:
+def hash_words(data: bytes, offsets: np.ndarray, table: np.ndarray = _SPACE_TABLE, lengths: tuple[int, ...] = ()) -> Words:
     """Spans and hashes of all words of ``data``; ``offsets`` has each text's first byte and the end.
 
+    ``lengths`` asks for the hashes of words' beginnings of so many bytes, too.
+
     Blocks of about a megabyte keep the temporary arrays small for any length of text.
     """
     buf = np.frombuffer(data, dtype=np.uint8)
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     at = 0
     while at < len(buf):
         stop = min(len(buf), at + BLOCK)
@@ -91,10 +94,16 @@ def hash_words(data: bytes, offsets: np.ndarray, table: np.ndarray = _SPACE_TABL
         up, down = _powers(max(len(block) + 1, BLOCK + 1))
         sums = np.zeros(len(block) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[block] * up[: len(block)], out=sums[1:])
-        parts.append((starts + at, ends + at, mix((sums[ends] - sums[starts]) * down[starts])))
+        heads = np.zeros((len(lengths), len(starts)), dtype=np.uint64)
+        for head, n in zip(heads, lengths):
+            longer = np.flatnonzero(ends - starts > n)
+            head[longer] = mix((sums[starts[longer] + n] - sums[starts[longer]]) * down[starts[longer]] + np.uint64(n))
+        parts.append((starts + at, ends + at, mix((sums[ends] - sums[starts]) * down[starts]), heads))
         at = stop
-    starts, ends, hashes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
+    if not parts:
+        parts.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((len(lengths), 0), np.uint64)))
+    starts, ends, hashes, heads = (np.concatenate(x, axis=-1) for x in zip(*parts))
+    return Words(starts, ends, hashes, np.searchsorted(starts, offsets), heads)
 
 
 def groups(texts, lower: bool = False) -> Iterator[tuple[int, list[bytes]]]:
@@ -116,11 +125,11 @@ def groups(texts, lower: bool = False) -> Iterator[tuple[int, list[bytes]]]:
         yield begin, run
 
 
-def words_of(run: list[bytes], table: np.ndarray = _SPACE_TABLE) -> Words:
+def words_of(run: list[bytes], table: np.ndarray = _SPACE_TABLE, lengths: tuple[int, ...] = ()) -> Words:
     """Words of a run of texts, which a line feed keeps apart."""
-    lengths = np.fromiter(map(len, run), dtype=np.int64, count=len(run)) + 1
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    return hash_words(b"\n".join([*run, b""]), offsets, table)
+    sizes = np.fromiter(map(len, run), dtype=np.int64, count=len(run)) + 1
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    return hash_words(b"\n".join([*run, b""]), offsets, table, lengths)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -55,18 +55,53 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(spark, docs.limit(0), spark.createDataFrame([], "text string, toxic int")).count() == 0
 
 
+def test_score_of_a_text_against_brute_force():
+    """Tokens by own word, else by the longest beginning; each telling expression once; sum over a power of the tokens."""
+    import math
+    import re
+
+    full = toxicity.words_of([b"vile nice stemone stemtwoo stemthree"], toxicity._TABLE, toxicity.BEGINNINGS)
+    known = {"vile": full.hashes[0], "nice": full.hashes[1], "stem*": full.beginnings[0][2]}
+    order = sorted(known, key=lambda k: known[k])
+    words = np.array([known[k] for k in order], dtype=np.uint64)
+    value = {"vile": 3.0, "nice": 0.0, "stem*": 1.5}
+    single = np.array([0.0] + [value[k] for k in order])
+    token = {k: i + 1 for i, k in enumerate(order)}
+    pair = token["nice"] * 4 + token["vile"]
+    m = toxicity.Model(words, single, np.array([pair]), np.array([5.0]), slope=0.7, bias=-1.0, power=0.5)
+    texts = ["Vile, vile other nice", "nice vile", "stemfour STEMFIVE stem nice", "", None, "\t", "plain " * 5000 + "vile"]
+    for text, got in zip(texts, m.score(pd_series(texts))):
+        t = [token.get(w, token["stem*"] if w.startswith("stem") and len(w) > 4 else 0) for w in re.findall(r"[^\W_]+", (text or "").lower())]
+        told = {}
+        for i, x in enumerate(t):
+            if i and t[i - 1] * 4 + x == pair:
+                told["pair"] = 5.0
+            elif single[x]:
+                told[x] = single[x]
+        want = 0.7 * sum(told.values()) / max(len(t), 1) ** 0.5 - 1
+        assert got == pytest.approx(1 / (1 + math.exp(-want)))
+
+
+def pd_series(x):
+    import pandas as pd
+
+    return pd.Series(x, dtype="object")
+
+
 def test_kneser_ney_tables_are_distributions():
     import pandas as pd
 
     words = np.sort(np.array([11, 22], dtype=np.uint64))
-    rows = [(c, 1, k, n) for c, k, n in ((0, 0, 5), (0, 1, 4), (1, 2, 3), (1, 1, 1))] + [(0, 2, 1, 4), (0, 2, 4, 2), (1, 2, 5, 3)]
-    counts = pd.DataFrame(rows, columns=["toxic", "kind", "key", "n"])
-    m = toxicity._fit_counts(words, counts, 1)
+    tokens = pd.DataFrame({"key": [0, 1, 2], "o": [5, 4, 0], "t": [0, 1, 3], "contrast": 9.0})
+    pairs = pd.DataFrame({"key": [1, 4, 5], "o": [4, 2, 0], "t": [0, 0, 3]})
+    follows = pd.DataFrame({"right": [1, 2], "n": [2, 1]})
+    contexts = pd.DataFrame({"left": [0, 1], "o": [4, 2], "t": [0, 3]})
+    m = toxicity._fit_counts(words, tokens, pairs, follows, contexts, 1)
     shared = np.array([0.5, 2.5, 1.5]) / 4.5
     low = [np.maximum(np.array(n) - 0.75, 0) / sum(n) for n in ([5, 4, 0], [0, 1, 3])]
     low = [x + (1 - x.sum()) * shared for x in low]
     assert np.allclose([x.sum() for x in low], 1)
-    assert np.allclose(m.single, np.log(low[1] / low[0]))
+    assert m.single[toxicity.UNKNOWN] == 0 and np.allclose(m.single[1:], np.log(low[1] / low[0])[1:])
     # the pair (1, 2) was seen three times in class 1 and never in class 0, whose context 1 has two pairs
     p1 = 2.25 / 3 + 0.75 / 3 * low[1][2]
     p0 = 0.75 / 2 * low[0][2]
