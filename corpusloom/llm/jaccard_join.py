@@ -18,10 +18,14 @@ form one class) and goes through two kinds of pivots.
   are connected.  By the triangle inequality a set further than 2t from the
   pivot has no link into the star, so only the rim of the star, as far as the
   window |d(x,p) - d(y,p)| <= t reaches an outsider, goes on with the outsiders.
-  The rest recurse with the next pivot; what is left after the last round, or
-  in regions that have become small, is compared set against set, without
-  sets that are connected already.
-
+  The rest recurse with the next pivot, for ``rounds`` rounds or until at most
+  ``region_cap`` sets of a region are in no star.  What is left is compared set
+  against set, where both reach each other, their windows share enough and they
+  are not connected yet.  Regions of many sets are dealt to several tasks.
+
+Two linked sets first meet, in the order of shingles, so early in both that the rest holds
+enough common shingles; so each entry reaches sets up to a certain size only, less with every
+place in its own order, and a pair counts in a region only if both reach each other there.
 A common shingle up to the end of the window that ends first lies in both windows, so two
 sets share at most the longer rest behind the windows and the regions that both are in;
 sets that cannot be linked with any other set of a region leave it before anything is compared.
@@ -54,7 +58,9 @@ from .store import Scratch
 from .words import groups, mix, windows, words_of
 
 NULL_ID = -(1 << 63)
-BLOCK_KEYS = 2_000_000
+BLOCK_KEYS = 1_000_000
+HOT_ROWS = 2_000
+BROADCAST_KEYS = 100_000
 
 
 def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
@@ -83,10 +89,27 @@ def _describe(k: int):
     return run
 
 
+def _matching(k: int):
+    """Rows (node, text) whose text has the node's set; ids may repeat with other texts."""
+
+    def run(frames):
+        for f in frames:
+            sets = shingle_sets(f["text"], k)
+            same = [len(s) == n and digest(s) == bytes(d) for s, n, d in zip(sets, f["n"], f["digest"])]
+            yield f.loc[same, ["node", "text"]]
+
+    return run
+
+
 def window_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def reach(n: int, place, percent: int):
+    """Largest set that a set of n can be linked with if their first common shingle is at ``place`` of its order: all common ones are from there on."""
+    return (n - place) * (100 + percent) // percent - n
+
+
 def _keys(members: np.ndarray, bits: int) -> np.ndarray:
     """Leading bits of shingles: equal shingles have equal keys, which is all that an order needs."""
     return members.view(np.uint64) >> np.uint64(64 - bits)
@@ -142,7 +165,7 @@ def _emit(k: int, percent: int, bits: int, buckets: int, demoted):
     def run(frames):
         for f in frames:
             late_keys = demoted.value
-            cells, owners, forced, nodes, sizes = [], [], [], [], []
+            cells, owners, reaches, forced, nodes, sizes = [], [], [], [], [], []
             for i, s in enumerate(shingle_sets(f["text"], k)):
                 if len(s) != f["n"].iat[i] or digest(s) != bytes(f["digest"].iat[i]):
                     continue
@@ -151,51 +174,58 @@ def _emit(k: int, percent: int, bits: int, buckets: int, demoted):
                 late = late_keys[at] == key if len(late_keys) else np.zeros(len(s), dtype=bool)
                 order = np.concatenate((s[~late], s[late]))[: window_size(len(s), percent)]
                 cells.append(order)
-                forced.append(np.arange(len(order)) >= len(s) - late.sum())
+                place = np.arange(len(order))
+                reaches.append(reach(len(s), place, percent).astype(np.uint32))
+                forced.append(place >= len(s) - late.sum())
                 owners.append(np.full(len(order), len(nodes), dtype=np.uint32))
                 nodes.append(f["node"].iat[i])
                 sizes.append(len(s))
             if not cells:
                 continue
-            cell, owner, late = np.concatenate(cells), np.concatenate(owners), np.concatenate(forced)
+            cell, owner, far, late = (np.concatenate(x) for x in (cells, owners, reaches, forced))
             node, size = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int64)
             rows = []
             if late.any():
                 # any partition will do for them
-                rows.append((-1 - int(node[0] % 1024), cell[late].tobytes(), owner[late].tobytes(), node.tobytes(), size.tobytes()))
-            cell, owner = cell[~late], owner[~late]
+                rows.append((-1 - int(node[0] % 1024), cell[late].tobytes(), owner[late].tobytes(), far[late].tobytes(), node.tobytes(), size.tobytes()))
+            cell, owner, far = cell[~late], owner[~late], far[~late]
             order = np.argsort(cell)
-            cell, owner = cell[order], owner[order]
+            cell, owner, far = cell[order], owner[order], far[order]
             cuts = [0, *np.searchsorted(cell, edges).tolist(), len(cell)]
             for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
                 if y > x:
                     used, own = np.unique(owner[x:y], return_inverse=True)
-                    rows.append((b, cell[x:y].tobytes(), own.astype(np.uint32).tobytes(), node[used].tobytes(), size[used].tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "cells", "owners", "nodes", "sizes"])
+                    rows.append((b, cell[x:y].tobytes(), own.astype(np.uint32).tobytes(), far[x:y].tobytes(), node[used].tobytes(), size[used].tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "cells", "owners", "reaches", "nodes", "sizes"])
 
     return run
 
 
-BLOCK = "bucket int, cells binary, owners binary, nodes binary, sizes binary"
-ENTRY = "cell long, node long, n long, forced boolean"
+BLOCK = "bucket int, cells binary, owners binary, reaches binary, nodes binary, sizes binary"
+ENTRY = "cell long, node long, n long, reach long, forced boolean"
 
 
 def _shared(frames):
     """Entries of cells that two documents share (and all at demoted shingles); blocks come sorted by bucket."""
 
     def table(parts, forced):
-        cell, node, size = (np.concatenate(x) for x in zip(*parts))
+        cell, node, size, far = (np.concatenate(x) for x in zip(*parts))
+        keep = np.arange(len(cell))
         if not forced:
-            _, at, n = np.unique(cell, return_inverse=True, return_counts=True)
-            keep = n[at] > 1
-            cell, node, size = cell[keep], node[keep], size[keep]
-        return pd.DataFrame({"cell": cell, "node": node, "n": size, "forced": np.full(len(cell), forced)})
+            keep = np.argsort(cell)
+            same = np.diff(cell[keep]) == 0
+            keep = keep[np.append(same, False) | np.append(False, same)]
+        # an id that repeats with its text has entered its set more than once
+        keep = keep[np.lexsort((node[keep], cell[keep]))]
+        fresh = np.append(True, (np.diff(cell[keep]) != 0) | (np.diff(node[keep]) != 0))
+        keep = keep[fresh[: len(keep)]]
+        return pd.DataFrame({"cell": cell[keep], "node": node[keep], "n": size[keep], "reach": far[keep].astype(np.int64), "forced": np.full(len(keep), forced)})
 
     now, parts = None, []
     for f in frames:
-        for bucket, cells, owners, nodes, sizes in zip(f["bucket"], f["cells"], f["owners"], f["nodes"], f["sizes"]):
+        for bucket, cells, owners, reaches, nodes, sizes in f.itertuples(index=False, name=None):
             own = np.frombuffer(owners, dtype=np.uint32)
-            part = (np.frombuffer(cells, dtype=np.int64), np.frombuffer(nodes, dtype=np.int64)[own], np.frombuffer(sizes, dtype=np.int64)[own])
+            part = (np.frombuffer(cells, dtype=np.int64), np.frombuffer(nodes, dtype=np.int64)[own], np.frombuffer(sizes, dtype=np.int64)[own], np.frombuffer(reaches, dtype=np.uint32))
             if bucket < 0:
                 yield table([part], True)
                 continue
@@ -232,6 +262,30 @@ class JaccardJoin:
         self.scratch = Scratch(spark, "jaccard")
         self.docs = docs
 
+    def salted(self, rows: DataFrame, key: str) -> DataFrame:
+        """Adds ways, the number of parts that the rows of a key are dealt to, and salt, the row's part.
+
+        A key of at most HOT_ROWS rows has one part, so few keys have more: at most one in HOT_ROWS rows.
+        """
+        ways = F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("ways")
+        hot = rows.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > HOT_ROWS).select(key, ways)
+        hot = self.scratch.save(hot, f"hot-{key}-{self.parts()}")
+        out = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot, key, "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+        return out.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col("ways")).cast("int"))
+
+    def parts(self) -> int:
+        self.used = getattr(self, "used", 0) + 1
+        return self.used
+
+    @staticmethod
+    def for_all_salts(rows: DataFrame) -> DataFrame:
+        """Each row once for every salt of its key."""
+        return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+
+    def per_cell(self, members: DataFrame, *aggregates, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+        """Aggregates of each cell, to be joined by the keys and salt."""
+        return self.for_all_salts(members.groupBy(*keys).agg(*aggregates, F.max("ways").alias("ways")))
+
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(id, n, digest) of each row and (node, n, digest) of each distinct set."""
         sig = self.scratch.save(self.docs.mapInPandas(_describe(self.k), "id long, n long, digest binary"), "sig")
@@ -240,12 +294,12 @@ class JaccardJoin:
         return sig, reps
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """Texts of nodes: all columns of ``nodes`` and the text of a row that has the node's id."""
+        """Texts of nodes: all columns of ``nodes`` and the text of every row that has the node's id."""
         docs = self.docs.select(F.coalesce("id", F.lit(NULL_ID)).alias("node"), "text")
         return docs.join(nodes, "node")
 
     def entries(self, reps: DataFrame, max_demoted: int) -> DataFrame:
-        """(cell, node, n): window entries of the cells that two sets share."""
+        """(cell, node, n, reach, ways, salt, met): window entries of the cells that two sets share."""
         # sets of one to three shingles have no link but to equal sets
         owners = reps.where("n > 3")
         total = reps.agg(F.sum("n")).first()[0] or 0
@@ -262,13 +316,19 @@ class JaccardJoin:
         emit = _emit(self.k, self.percent, bits, blocks, demoted)
         rows = self.texts(owners).mapInPandas(emit, BLOCK).repartition(max(blocks, 8), "bucket").sortWithinPartitions("bucket")
         found = self.scratch.save(rows.mapInPandas(_shared, ENTRY), "found")
-        forced = found.where("forced").select("cell", "node", "n")
-        twice = forced.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
-        shared = self.scratch.save(found.where("not forced").select("cell", "node", "n").unionByName(forced.join(twice, "cell")), "shared")
+        forced = found.where("forced").drop("forced")
+        # only cells of demoted shingles can have many sets
+        shared = found.where("not forced").select("cell", "node", "n", "reach", F.lit(1).alias("ways"), F.lit(0).alias("salt"))
+        shared = self.scratch.save(shared.unionByName(self.of_two(self.salted(forced.distinct(), "cell"))), "shared")
         for i in range(2):
-            shared = self.scratch.save(self.feasible(self.with_met(shared.select("cell", "node", "n"))), f"shared{i}")
+            shared = self.scratch.save(self.feasible(self.with_met(shared.drop("met")), placed=False), f"shared{i}")
         return shared
 
+    def of_two(self, members: DataFrame) -> DataFrame:
+        """Members of cells that have at least two."""
+        twice = self.per_cell(members, F.count("*").alias("c")).where("c > 1").drop("c")
+        return members.join(twice, ["cell", "salt"])
+
     def window_of(self, n):
         return n - F.floor((n * self.percent + 99) / 100).cast("long") + 1
 
@@ -285,25 +345,29 @@ class JaccardJoin:
         """Whether sets of sizes n and m that meet others in so many regions can be within t."""
         return self.most(n, m, F.least(met, rest)) * (100 + self.percent) >= (n + m) * self.percent
 
-    def feasible(self, members: DataFrame) -> DataFrame:
+    def feasible(self, members: DataFrame, placed: bool = True) -> DataFrame:
         """Members of regions in which they can have a link.
 
-        A set can be linked with one that is not larger up to its reach.  With a larger one the rest
-        behind that one's window counts, which must be large enough for it.  Linked sets differ in size
-        by 100 / percent at most, so they are in the same or in neighbouring steps of sizes.
+        The region of two sets' first common shingle must lie within the reach of both; without ``placed``
+        that is left out, so that all regions that two linked sets share stay and can be counted.  A set can be
+        linked with one that is not larger up to what its rest and the regions it shares allow.  With a
+        larger one the rest behind that one's window counts, which must be large enough for it.  Linked
+        sets differ in size by 100 / percent at most, so they are in the same or in neighbouring steps of sizes.
         """
         p, n = self.percent, F.col("n")
-        reach = F.floor((n - self.window_of(n) + F.col("met")) * (100 + p) / p) - n
+        most = F.floor((n - self.window_of(n) + F.col("met")) * (100 + p) / p) - n
         step = F.floor(F.ln(n) / (log(100 / p) + 1e-6)).cast("int")
-        about = members.withColumns({"reach": reach, "step": step})
-        steps = about.groupBy("cell", "step").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("reach").alias("far"))
-        steps = steps.groupBy("cell").agg(F.collect_list(F.struct("step", "least", "largest", "far")).alias("steps"))
-        below = lambda s: s["step"].between(F.col("step") - 1, F.col("step")) & (s["least"] <= F.col("reach")) & (s["largest"] * 100 >= n * p)
+        own = F.col("reach") if placed else F.lit(1 << 62)
+        about = members.withColumns({"most": most, "step": step, "own": own})
+        steps = about.groupBy("cell", "step").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("most").alias("far"), F.max("own").alias("own"), F.max("ways").alias("ways"))
+        steps = self.per_cell(steps, F.collect_list(F.struct("step", "least", "largest", "far", "own")).alias("steps"))
+        both = lambda s: (s["own"] >= n) & (s["least"] <= F.col("own"))
+        below = lambda s: both(s) & s["step"].between(F.col("step") - 1, F.col("step")) & (s["least"] <= F.col("most")) & (s["largest"] * 100 >= n * p)
         needed = 100 * (n * p - F.col("met") * (100 + p))
-        above = lambda s: s["step"].between(F.col("step"), F.col("step") + 1) & (s["far"] >= n) & (s["largest"] * (p * p) >= needed) & (s["least"] * p <= n * 100)
-        kept = about.join(steps, "cell").where((F.col("reach") >= n) | F.exists("steps", below) | F.exists("steps", above)).drop("reach", "step", "steps")
-        twice = kept.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
-        return kept.join(twice, "cell")
+        above = lambda s: both(s) & s["step"].between(F.col("step"), F.col("step") + 1) & (s["far"] >= n) & (s["largest"] * (p * p) >= needed) & (s["least"] * p <= n * 100)
+        alike = F.least("most", "own") >= n
+        kept = about.join(steps, ["cell", "salt"]).where(alike | F.exists("steps", below) | F.exists("steps", above)).drop("most", "step", "own", "steps")
+        return self.of_two(kept)
 
     def near(self, na, nb, both):
         return both * 100 >= (na + nb - both) * self.percent
@@ -323,25 +387,29 @@ class JaccardJoin:
         exact = full.mapInPandas(_compare(self.k), "a long, b long, na long, nb long, both long")
         return self.scratch.save(exact.distinct().unionByName(bounded.where(~chance)), name)
 
-    def links(self, shared: DataFrame, rounds: int) -> DataFrame:
+    def links(self, reps: DataFrame, shared: DataFrame, rounds: int) -> DataFrame:
         """Edges (a, b) that connect every group of linked sets.
 
         star is the pivot that a member is linked to; members of one star need no comparison.
         """
-        marks = self.scratch.save(shared.groupBy("node", "n").agg(F.collect_list("cell").alias("cells")), "marks")
+        placed = self.scratch.save(self.feasible(shared), "placed")
+        nodes = placed.select("node").distinct()
+        marks = self.scratch.save(shared.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.collect_list("cell").alias("cells")), "marks")
         # the texts that any comparison can need, fetched once
-        self.pool = self.scratch.save(self.texts(marks.select("node")), "pool")
+        owners = reps.join(marks.select("node"), "node", "left_semi")
+        self.pool = self.scratch.save(self.texts(owners).mapInPandas(_matching(self.k), "node long, text string").dropDuplicates(["node"]), "pool")
         t = 1 - self.percent / 100 + 1e-9
         distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
         linked = self.near(F.col("na"), F.col("nb"), F.col("both"))
-        members = shared.select("cell", "node", "n", "met", F.lit(None).cast("long").alias("star"), F.lit(None).cast("double").alias("d"))
+        kept = ["cell", "salt", "ways", "node", "n", "reach", "met", "star", "d"]
+        members = placed.withColumns({"star": F.lit(None).cast("long"), "d": F.lit(None).cast("double")}).select(kept)
         edges, waiting = [], []
         for i in range(rounds):
             # the set with most in common with its region is the most central
-            order = F.struct(((self.window_of(F.col("n")) - F.col("met")) / F.col("n") - 1).alias("o"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("met").alias("pmet"))
-            pivots = members.where("star is null").groupBy("cell").agg(F.min(order).alias("pivot")).select("cell", "pivot.p", "pivot.pn", "pivot.pmet")
-            met = self.scratch.save(members.drop("d").join(pivots, "cell").where("node <> p"), f"met{i}")
-            pairs = met.where(self.can_link(F.col("n"), F.col("met"), F.col("pn"), F.col("pmet"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+            order = F.struct(((self.window_of(F.col("n")) - F.col("met")) / F.col("n") - 1).alias("o"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("met").alias("pmet"), F.col("reach").alias("preach"))
+            pivots = self.per_cell(members, F.min(F.when(F.col("star").isNull(), order)).alias("pivot")).where("pivot is not null").select("cell", "salt", "pivot.p", "pivot.pn", "pivot.pmet", "pivot.preach")
+            met = self.scratch.save(members.drop("d").join(pivots, ["cell", "salt"]).where("node <> p"), f"met{i}")
+            pairs = met.where("n <= preach and pn <= reach").where(self.can_link(F.col("n"), F.col("met"), F.col("pn"), F.col("pmet"))).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
             seen = self.compare(pairs, marks, f"seen{i}")
             edges.append(seen.where(linked).select("a", "b"))
             known = seen.select(F.col("a").alias("node"), F.col("b").alias("p"), distance.alias("d"), linked.alias("linked"))
@@ -349,37 +417,42 @@ class JaccardJoin:
             most = self.most(F.col("n"), F.col("pn"), F.least("met", "pmet"))
             told = told.withColumn("d", F.coalesce("d", 1 - most / (F.col("n") + F.col("pn") - most))).withColumn("linked", F.coalesce("linked", F.lit(False)))
             told = self.scratch.save(told.withColumn("star", F.when(F.col("linked"), F.col("p")).otherwise(F.col("star"))), f"told-{i}")
-            nearest = told.where("not linked").groupBy("cell").agg(F.min("d").alias("nearest"))
-            members = told.join(nearest, "cell").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - t)).select("cell", "node", "n", "met", "star", "d")
-            members = self.feasible(members)
-            own = F.coalesce("star", "node")
-            counts = members.groupBy("cell").agg(F.count("*").alias("c"), F.count_if(F.col("star").isNull()).alias("free"), F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").drop("lo", "hi")
-            members = self.scratch.save(members.join(counts, "cell"), f"members{i}")
-            largest, free = members.agg(F.max("c"), F.max("free")).first()
-            if largest is None:
-                break
-            ready = (F.col("free") == 0) if largest > self.cap and i + 1 < rounds or i == 0 else F.lit(True)
-            waiting.append(members.where(ready).select("cell", "node", "n", "met", "star", "d"))
-            members = members.where(~ready).select("cell", "node", "n", "met", "star", "d")
-            if i and largest <= self.cap or not free:
+            nearest = self.per_cell(told, F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest"))
+            members = told.join(nearest, ["cell", "salt"]).where(~F.col("linked") | (F.col("d") >= F.col("nearest") - t)).select(kept)
+            members, most_free = self.open_regions(self.feasible(members), f"members{i}")
+            if most_free > self.cap and i % 3 == 0:
+                # sets that other regions have connected count as stars, too
+                roots = self.components(reduce(DataFrame.unionByName, edges), f"roots{i}")
+                joined = members.drop("free").join(roots, "node", "left").withColumn("star", F.coalesce("root", "star")).drop("root")
+                members, most_free = self.open_regions(joined, f"connected{i}")
+            # regions with few sets outside stars are compared set against set, others divide again
+            small = F.col("free") <= self.cap
+            waiting.append(members.where(small).select(kept))
+            members = members.where(~small).select(kept)
+            if most_free <= self.cap:
                 break
+        else:
+            waiting.append(members)
         edges = reduce(DataFrame.unionByName, edges)
-        if not waiting:
-            return edges
         # what is connected by now needs no comparison either
         roots = self.components(edges, "early")
         rest = reduce(DataFrame.unionByName, [w.withColumn("part", F.lit(i)) for i, w in enumerate(waiting)])
         rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = rest.groupBy("cell", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell", "part")
-        rest = self.scratch.save(rest.join(apart, ["cell", "part"]), "rest")
-        # components that meet in a region, each two once; then their sets that are left
-        met = rest.select("cell", "part", "root").distinct()
-        both = met.withColumnRenamed("root", "ra").join(met.withColumnRenamed("root", "rb"), ["cell", "part"]).where("ra < rb").select("ra", "rb").distinct()
-        left = rest.select("root", "node", "n", "met").distinct()
-        side = lambda r, v: left.select(F.col("root").alias(r), F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("met").alias(f"o{v}"))
-        pairs = both.join(side("ra", "a"), "ra").join(side("rb", "b"), "rb").where(self.can_link(F.col("na"), F.col("oa"), F.col("nb"), F.col("ob"))).select("a", "b").distinct()
+        apart = self.per_cell(rest, F.min("root").alias("lo"), F.max("root").alias("hi"), keys=("cell", "part")).where("lo < hi").drop("lo", "hi")
+        rest = self.scratch.save(rest.join(apart, ["cell", "part", "salt"]), "rest")
+        one = lambda r, v: rest.select("cell", "part", "salt", "ways", F.col("root").alias(r), F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("met").alias(f"o{v}"), F.col("reach").alias(f"r{v}"))
+        # pairs of sets that share a region and are not connected; of two roots the smaller comes first
+        met = one("roota", "a").drop("ways").join(self.for_all_salts(one("rootb", "b")), ["cell", "part", "salt"]).where("roota < rootb and na <= rb and nb <= ra")
+        pairs = met.where(self.can_link(F.col("na"), F.col("oa"), F.col("nb"), F.col("ob"))).select("a", "b").distinct()
         return edges.unionByName(self.compare(pairs, marks, "last").where(linked).select("a", "b"))
 
+    def open_regions(self, members: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Members of regions that are not one star, with free, the region's number of sets outside stars; and the largest free."""
+        own = F.coalesce("star", "node")
+        counts = self.per_cell(members, F.count_if(F.col("star").isNull()).alias("free"), F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").drop("lo", "hi")
+        members = self.scratch.save(members.join(counts, ["cell", "salt"]), name)
+        return members, members.agg(F.max("free")).first()[0] or 0
+
     def components(self, edges: DataFrame, name: str) -> DataFrame:
         """(node, root) by alternating large and small stars, where root is the least node."""
         flat = self.scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}0")
@@ -404,9 +477,13 @@ class JaccardJoin:
         if reps.groupBy("node").count().where("count > 1").limit(1).count():
             raise RepeatedIds
         shared = self.entries(reps, max_demoted)
-        roots = self.components(self.links(shared, rounds), "final")
+        roots = self.components(self.links(reps, shared, rounds), "final")
         group = reps.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-        out = sig.join(group, "digest", "left")
+        # copies of one set are dealt to several tasks; rows without a set need no group
+        rows = self.salted(sig.where("n > 0"), "digest")
+        ways = rows.where("ways > 1").select("digest", "ways").distinct()
+        group = self.for_all_salts(group.join(ways, "digest", "left").withColumn("ways", F.coalesce("ways", F.lit(1))))
+        out = rows.join(group, ["digest", "salt"]).unionByName(sig.where("n = 0"), allowMissingColumns=True)
         component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.nullif("root", F.lit(NULL_ID)))
         return out.select("id", "n", component.alias("component"))
 
@@ -419,7 +496,7 @@ def jaccard_components(
     k: int = 5,
     percent: int = 80,
     region_cap: int = 16,
-    rounds: int = 3,
+    rounds: int = 4,
     max_demoted: int = 2_000_000,
 ) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id (least id reachable by links)."""

@@ -79,3 +79,18 @@ def test_nested_sets_of_different_sizes(spark):
         docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: -(-n * (80 + i % 9) // 100) + 4]))]
     got = jaccard_components(spark, spark.createDataFrame([(*d, 0) for d in docs], SCHEMA))
     assert sorted(map(tuple, got.collect()), key=repr) == brute(docs)
+
+
+def test_id_of_several_texts_links_by_text_not_by_id(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(words[:34] + ["x", "y"])
+    rows = [(4, a, 0), (4, b, 0), (2, b, 0), (4, a, 0), (7, a, 0)]
+    got = sorted(map(tuple, jaccard_components(spark, spark.createDataFrame(rows, SCHEMA)).collect()))
+    # 30 shingles of 38 are common: below 0.8
+    assert got == sorted([(4, 36, 4), (4, 32, 2), (2, 32, 2), (4, 36, 4), (7, 36, 4)])
+
+
+def test_random_repeated_ids(spark):
+    docs = [(i % 90, t) for i, t in corpus(5)] + corpus(5)[:5]
+    got = jaccard_components(spark, spark.createDataFrame([(d, t, 0) for d, t in docs], SCHEMA), region_cap=3, rounds=2)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(docs)
