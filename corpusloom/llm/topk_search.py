@@ -4,11 +4,10 @@ Vectors are quantised to integers, so scores are exact.  Candidates are dealt
 into blocks of bounded size; each block is an M-tree of paged nodes with a
 router, a covering radius and the distance to the parent's router.  Since
 q.x = q.c + q.(x - c) <= q.c + |q| d(x, c), a node's best score is at most
-q.router + |q| radius.  Each query opens nodes by that bound, best first, and
-ends when no open bound reaches its k-th score.  Before a child's router is
-multiplied, the bound q.parent + |q| (d(parent, child) + radius) is tried, and
-within a page the stored d(x, router) plays the same part.  Queries that open
-the same node at the same step are multiplied together.
+q.router + |q| radius.  A queue holds a query's open nodes by that bound; the best
+is opened next, and the search ends when it does not reach the k-th score.  Before
+a child's router is multiplied, the bound q.parent + |q| (d(parent, child) + radius)
+is tried, and within a page the stored d(x, router) plays the same part.
 
 Queries come in blocks too; each pair of blocks is one task group, and the best
 k of each are merged, ties to the smaller id.  Defined results: vectors that are
@@ -19,6 +18,8 @@ never answers itself; extra columns are ignored; no vectors give no rows.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,7 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 class Node:
-    __slots__ = ("router", "radius", "parent_distance", "children", "rows", "distances")
+    __slots__ = ("router", "radius", "parent_distance", "children", "rows", "distances", "routers", "reaches")
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, parent: np.ndarray | None):
         self.router = x[rows].mean(axis=0)
@@ -44,7 +45,7 @@ class Node:
         if len(rows) <= PAGE:
             return
         if self.radius == 0:
-            self.children = [Node(x, part, self.router) for part in np.array_split(rows, -(-len(rows) // PAGE))]
+            self._adopt([Node(x, part, self.router) for part in np.array_split(rows, -(-len(rows) // PAGE))])
             return
         # seeds of the children: each the farthest point from those before
         seeds, gap = [int(self.distances.argmax())], np.full(len(rows), np.inf)
@@ -56,74 +57,62 @@ class Node:
             if gap.max() == 0:
                 break
             seeds.append(int(gap.argmax()))
-        self.children = [Node(x, rows[near == j], self.router) for j in np.unique(near)]
+        self._adopt([Node(x, rows[near == j], self.router) for j in np.unique(near)])
+
+    def _adopt(self, children: list[Node]) -> None:
+        self.children = children
+        self.routers = np.array([c.router for c in children])
+        # no row of a child is farther from this node's router
+        self.reaches = np.array([c.parent_distance + c.radius for c in children])
 
 
 class MTree:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.x, self.ids = x, ids
         self.root = Node(x, np.arange(len(x)), None)
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, score) of the k best of each query, of all ids but its own."""
-        n = len(queries)
-        self.q, self.own, self.k = queries, own, k
-        self.length = np.sqrt((queries**2).sum(axis=1))
-        self.slack = 1e-6 * (1 + self.length) * (1 + np.sqrt((self.x**2).sum(axis=1).max()))
-        self.best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        self.floor = np.full(n, -np.inf)
-        everyone = np.arange(n)
-        self._open(self.root, everyone, queries @ self.root.router)
-        return self.best
-
-    def _open(self, node: Node, who: np.ndarray, middle: np.ndarray) -> None:
-        """Searches a node for some queries, whose products with its router are ``middle``."""
-        if not node.children:
-            self._page(node, who, middle)
-            return
-        length, slack = self.length[who], self.slack[who]
-        at = np.full((len(who), len(node.children)), -np.inf)
-        for j, child in enumerate(node.children):
-            ask = middle + length * (child.parent_distance + child.radius) + slack >= self.floor[who]
-            at[ask, j] = self.q[who[ask]] @ child.router
-        top = at + length[:, None] * np.array([c.radius for c in node.children])
-        order = np.argsort(-top, axis=1, kind="stable")
-        for step in range(len(node.children)):
-            j = order[:, step]
-            bound = top[np.arange(len(who)), j]
-            go = (bound > -np.inf) & (bound + slack >= self.floor[who])
-            if not go.any():
+        self.longest = float(np.sqrt((x**2).sum(axis=1).max()))
+        # products of doubles are exact up to 2**53; larger components go through 64-bit integers
+        self.whole = x.astype(np.int64) if x.shape[1] * float(np.abs(x).max()) ** 2 >= 2.0**53 else None
+
+    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows of other ids, best first, ties to the smaller id."""
+        length = float(np.sqrt(q @ q))
+        slack = 1e-6 * (1 + length) * (1 + self.longest)
+        best: list[tuple[int, int]] = []
+        floor = -np.inf
+        top = float(q @ self.root.router)
+        # open nodes by the best score they can hold
+        queue = [(-(top + length * self.root.radius), 0, self.root, top)]
+        pushed = 0
+        while queue:
+            bound, _, node, middle = heapq.heappop(queue)
+            if -bound + slack < floor:
                 break
-            for c in np.unique(j[go]):
-                mine = np.flatnonzero(go & (j == c))
-                self._open(node.children[c], who[mine], at[mine, c])
-
-    def _page(self, node: Node, who: np.ndarray, middle: np.ndarray) -> None:
-        floor = self.floor[who]
-        loose = (floor - self.slack[who] - middle) / np.maximum(self.length[who], 1e-300)
-        rows = node.rows[node.distances >= loose.min() - 1e-9]
-        if not len(rows):
-            return
-        scores = self.q[who] @ self.x[rows].T
-        scores[self.own[who][:, None] == self.ids[rows][None, :]] = -np.inf
-        if len(rows) > self.k:
-            least = np.partition(scores, len(rows) - self.k, axis=1)[:, len(rows) - self.k]
-            floor = np.maximum(floor, least)
-        a, b = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        kept = ~np.isin(self.best[0], who)
-        mine = [x[~kept] for x in self.best]
-        query = np.concatenate((mine[0], who[a]))
-        vector = np.concatenate((mine[1], self.ids[rows][b]))
-        score = np.concatenate((mine[2], scores[a, b].astype(np.int64)))
-        order = np.lexsort((vector, -score, query))
-        query, vector, score = query[order], vector[order], score[order]
-        start = np.searchsorted(query, query)
-        first = np.arange(len(query)) - start < self.k
-        query, vector, score = query[first], vector[first], score[first]
-        self.best = tuple(np.concatenate((x[kept], y)) for x, y in zip(self.best, (query, vector, score)))
-        full, n = np.unique(query, return_counts=True)
-        last = np.searchsorted(query, full, side="right") - 1
-        self.floor[full[n == self.k]] = score[last[n == self.k]]
+            if not node.children:
+                rows = node.rows
+                if floor > -np.inf:
+                    # a row at distance d from the router scores at most middle + length * d
+                    rows = rows[middle + length * node.distances + slack >= floor]
+                rows = rows[self.ids[rows] != own]
+                scores = self.x[rows] @ q if self.whole is None else self.whole[rows] @ q.astype(np.int64)
+                if len(best) + len(rows) > k and len(rows) > k:
+                    keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    rows, scores = rows[keep], scores[keep]
+                best += [(int(s), int(i)) for s, i in zip(scores, self.ids[rows]) if s >= floor]
+                best.sort(key=lambda b: (-b[0], b[1]))
+                del best[k:]
+                if len(best) == k:
+                    floor = best[-1][0]
+                continue
+            near = middle + length * node.reaches + slack >= floor
+            products = node.routers[near] @ q
+            for j, p in zip(np.flatnonzero(near).tolist(), products.tolist()):
+                child = node.children[j]
+                most = p + length * child.radius
+                if most + slack >= floor:
+                    pushed += 1
+                    heapq.heappush(queue, (-most, pushed, child, p))
+        return best
 
 
 def _stack(vectors) -> np.ndarray:
@@ -138,9 +127,8 @@ def _search(k: int):
             for d in sorted(set(sizes) & set(wanted)):
                 part, asked = candidates[sizes == d], queries[wanted == d]
                 tree = MTree(_stack(part["v"]), part["vec_id"].to_numpy(dtype=np.int64))
-                own = asked["vec_id"].to_numpy(dtype=np.int64)
-                query, vector, score = tree.search(_stack(asked["v"]), own, k)
-                found.append(pd.DataFrame({"query_id": own[query], "vec_id": vector, "score": score}))
+                rows = [(own, i, s) for own, q in zip(asked["vec_id"].tolist(), _stack(asked["v"])) for s, i in tree.search(q, own, k)]
+                found.append(pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64"))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
