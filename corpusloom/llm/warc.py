@@ -1,7 +1,7 @@
 """WARC records as a chunked table.
 
 A record is rows (record, chunk, data): chunk 0 has the WARC and HTTP headers,
-then come payload chunks of at most ``chunk_bytes`` and a closing row.  In order
+then come payload chunks of at most ``chunk_bytes``, cut at characters, and a closing row.  In order
 of (record, chunk) the data are the bytes of a WARC 1.1 archive, so neither
 writing nor reading needs a whole record in memory: digests are carried from
 chunk to chunk, and the reader parses the header and streams the rest.
@@ -30,51 +30,58 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 BROADCAST_RECORDS = 200_000
+FRAME_BYTES = 4 << 20
 CHUNK = "record long, page_id long, url string, chunk int, data binary, payload_bytes long, payload_digest string"
 READ = "record long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _digests(frames):
-    """Adds the payload's size and digest to the row of its last chunk."""
-    state, size = hashlib.sha1(), 0
-    for f in frames:
-        sizes, digests = [], []
-        for chunk, last, data in zip(f["chunk"], f["last"], f["data"]):
-            if chunk == 1:
-                state, size = hashlib.sha1(), 0
-            state.update(data)
-            size += len(data)
-            sizes.append(size if last else None)
-            digests.append(base64.b32encode(state.digest()).decode() if last else None)
-        out = f.drop(columns="last")
-        out["payload_bytes"] = pd.array(sizes, dtype="Int64")
-        out["payload_digest"] = digests
-        yield out.astype({"page_id": "Int64"})
+def _chunks(chunk_bytes: int):
+    """Cuts payloads; the last row of a record has its size and digest, which are carried from chunk to chunk."""
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    # a character has four bytes at most
+    step = max(chunk_bytes // 4, 1)
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
+
+    def run(frames):
+        rows, held = [], 0
+        for f in frames:
+            for record, page, url, html in zip(f["record"], f["page_id"].astype("Int64"), f["url"], f["html"]):
+                sha, size, text = hashlib.sha1(), 0, html or ""
+                for i, a in enumerate(range(0, max(len(text), 1), step)):
+                    data = text[a : a + step].encode("utf-8", "surrogatepass")
+                    sha.update(data)
+                    size += len(data)
+                    last = a + step >= len(text)
+                    rows.append((record, page, None if i else url, i + 1, data, size if last else None, base64.b32encode(sha.digest()).decode() if last else None))
+                    held += len(data)
+                    if held >= FRAME_BYTES:
+                        yield frame(rows)
+                        rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+    return run
 
 
 def payload_chunks(pages: DataFrame, chunk_bytes: int) -> DataFrame:
     """Rows of ``CHUNK``: the payload of each page in chunks from 1, size and digest on the last."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    n = F.greatest(F.ceil(F.octet_length("p") / chunk_bytes).cast("int"), F.lit(1))
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("p"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    flat = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("p"))
-    flat = flat.select(F.monotonically_increasing_id().alias("record"), "page_id", "url", cut.alias("parts"))
-    rows = flat.select("record", "page_id", "url", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "data"))
-    rows = rows.select("record", "page_id", F.when(F.col("at") == 0, F.col("url")).alias("url"), (F.col("at") + 1).alias("chunk"), "data", (F.col("at") + 1 == F.col("n")).alias("last"))
-    return rows.mapInPandas(_digests, CHUNK)
+    flat = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return flat.mapInPandas(_chunks(chunk_bytes), CHUNK)
 
 
 def _headers(frames):
     """Chunk 0 and the closing row of each decided record."""
     for f in frames:
         rows = []
-        for record, page, url, size, digest, kind, refers in f.itertuples(index=False, name=None):
+        for record, page, url, size, digest, kind, refers, first in f.itertuples(index=False, name=None):
             block = len(HTTP) + (size if kind == "response" else 0)
             target = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
             lines = [
                 "WARC/1.1",
                 f"WARC-Type: {kind}",
-                f"WARC-Record-ID: <urn:page:{'' if pd.isna(page) else int(page)}>",
+                f"WARC-Record-ID: <urn:page:{'' if pd.isna(page) else int(page)}:{record}>",
                 f"WARC-Target-URI: {target}",
                 f"WARC-Date: {DATE}",
                 f"WARC-Payload-Digest: sha1:{digest}",
@@ -83,7 +90,7 @@ def _headers(frames):
                 f"Content-Length: {block}",
             ]
             if kind == "revisit":
-                lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{int(refers)}>"]
+                lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{int(refers)}:{int(first)}>"]
             rows.append((record, 0, "\r\n".join(lines).encode() + END + HTTP))
             rows.append((record, 2**31 - 1, END))
         yield pd.DataFrame(rows, columns=["record", "chunk", "data"])
@@ -95,12 +102,13 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = 1 <<
     chunks = scratch.save(payload_chunks(pages, chunk_bytes), "payload")
     ends = chunks.where("payload_digest is not null").select("record", "page_id", "payload_bytes", "payload_digest")
     urls = chunks.where("chunk = 1").select("record", "url")
-    first = ends.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_page"))
+    first = ends.groupBy("payload_digest", "payload_bytes").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record"))).alias("first"))
+    first = first.select("payload_digest", "payload_bytes", F.col("first.page_id").alias("first_page"), F.col("first.record").alias("first_record"))
     repeats = (F.col("payload_bytes") >= min_bytes) & (F.col("page_id") > F.col("first_page"))
     decided = ends.join(first, ["payload_digest", "payload_bytes"]).withColumn("repeats", F.coalesce(repeats, F.lit(False)))
     decided = scratch.save(decided.join(urls, "record"), "decided")
     kind = F.when(F.col("repeats"), "revisit").otherwise("response")
-    heads = decided.select("record", "page_id", "url", "payload_bytes", "payload_digest", kind.alias("kind"), F.when(F.col("repeats"), F.col("first_page")).alias("refers"))
+    heads = decided.select("record", "page_id", "url", "payload_bytes", "payload_digest", kind.alias("kind"), F.when(F.col("repeats"), F.col("first_page")).alias("refers"), "first_record")
     left_out = decided.where("repeats").select("record")
     # few repeats are broadcast, so that payloads need no exchange here; many are joined by exchange
     few = left_out.count() <= BROADCAST_RECORDS
@@ -142,7 +150,7 @@ class _Reader:
         if f is None or self.left or self.tail != END:
             raise ValueError(f"record {self.record} is cut")
         told = f["WARC-Payload-Digest"].removeprefix("sha1:")
-        number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
+        number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").partition(":")[0]) else None
         kind, page = f["WARC-Type"], number(f["WARC-Record-ID"])
         if kind == "revisit":
             return self.record, page, int(f["X-Payload-Length"]), told, kind, number(f["WARC-Refers-To"])
