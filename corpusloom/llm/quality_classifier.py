@@ -6,9 +6,10 @@ table is bounded at any corpus size), and expectation-maximisation over the
 patterns estimates the prior and each labeller's accuracy in both classes.
 The posterior of a text's pattern is its soft label.  A linear scorer over
 hashed words is then trained on a bounded sample of texts
-(``max_training_docs`` with the smallest hashes) by full-batch gradient steps
-that Spark sums over the sample's partitions; it scores every whole text.  A
-text is kept if the mean of posterior and score reaches the threshold.
+(about ``max_training_docs`` different ones with the smallest hashes) by full-batch gradient steps
+that Spark sums over the sample's partitions; it scores every whole text.  Its
+features are hashed words and the hashed steps of the measures that labellers use.
+A text is kept if its score reaches the threshold.
 
 Defined results: a null text has no words, an empty feature vector and the
 score of the bias alone, and is not kept; repeated rows score alike; extra columns are kept; on
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import base_counts
-from .store import Scratch
-from .words import groups, words_of
+from .store import Scratch, free_name, smallest_hashes
+from .words import groups, mix, words_of
 
 #: (measure, bad at or above, good at or below): each is one labeller.  Most only know what is bad and
 #: abstain elsewhere; the last also knows good prose.
@@ -43,6 +44,9 @@ LABELLERS = (
 
 
 MOST_FALSE_ALARMS = 0.003
+#: edges of the steps that measures are cut into as features
+STEPS = np.array([0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.34, 0.5, 1, 2, 3, 4.5, 6])
+STEP_VALUE = 0.5
 
 
 def measures(texts) -> pd.DataFrame:
@@ -69,8 +73,7 @@ def measures(texts) -> pd.DataFrame:
     )
 
 
-def votes(texts) -> np.ndarray:
-    m = measures(texts)
+def votes(m: pd.DataFrame) -> np.ndarray:
     out = np.zeros((len(m), len(LABELLERS)), dtype=np.int64)
     for j, (name, bad, good) in enumerate(LABELLERS):
         v = m[name].to_numpy()
@@ -112,26 +115,35 @@ def estimate(pattern_votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tupl
     return prior, rates, posterior
 
 
-def features(texts, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index, buckets, values) of each text: square roots of word shares, of unit length."""
+def step_buckets(m: pd.DataFrame, buckets: int) -> np.ndarray:
+    """The bucket of each text's step of each measure: one hashed feature per measure."""
+    step = np.column_stack([np.digitize(m[name].to_numpy(), STEPS) for name, *_ in LABELLERS]).astype(np.uint64)
+    own = (np.arange(len(LABELLERS), dtype=np.uint64) + np.uint64(1)) << np.uint64(32)
+    return (mix(step + own) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def features(texts, m: pd.DataFrame, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index, buckets, values) of each text: square roots of word shares, then the steps of its measures."""
+    steps = step_buckets(m, buckets)
+    values = np.full(len(LABELLERS), STEP_VALUE)
     for begin, run in groups(texts, lower=True):
         w = words_of(run)
         for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
             at, n = np.unique((w.hashes[a:b] & np.uint64(buckets - 1)).astype(np.int64), return_counts=True)
-            yield begin + i, at, np.sqrt(n / max(b - a, 1))
+            yield begin + i, np.concatenate((at, steps[begin + i])), np.concatenate((np.sqrt(n / max(b - a, 1)), values))
 
 
-def linear_scores(texts, weights: np.ndarray, bias: float) -> np.ndarray:
+def linear_scores(texts, m: pd.DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
     """Scores of texts with per-text sums over bucket counts."""
     out = np.zeros(len(texts))
-    for i, at, x in features(texts, len(weights)):
+    for i, at, x in features(texts, m, len(weights)):
         out[i] = weights[at] @ x + bias
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
 def _pattern(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        p, n = np.unique(pattern_of(votes(f["text"])), return_counts=True)
+        p, n = np.unique(pattern_of(votes(measures(f["text"]))), return_counts=True)
         yield pd.DataFrame({"pattern": p, "n": n})
 
 
@@ -144,10 +156,11 @@ def train(sample: DataFrame, posterior: dict[int, float], buckets: int, rounds:
     def gradient(frames):
         total, own, n = np.zeros(buckets), 0.0, 0
         for f in frames:
-            label = np.array([posterior.get(int(p), default) for p in pattern_of(votes(f["text"]))])
-            for i, at, x in features(f["text"], buckets):
+            m = measures(f["text"])
+            label = np.array([posterior.get(int(p), default) for p in pattern_of(votes(m))])
+            for i, at, x in features(f["text"], m, buckets):
                 error = label[i] - 1 / (1 + np.exp(-np.clip(weights[at] @ x + bias, -40, 40)))
-                total[at] += error * x
+                np.add.at(total, at, error * x)
                 own += error
                 n += 1
         at = np.flatnonzero(total)
@@ -184,8 +197,10 @@ def classify_quality(
     keys = patterns["pattern"].to_numpy(dtype=np.int64)
     _, _, post = estimate(votes_of(keys, len(LABELLERS)), patterns["n"].to_numpy(dtype=float))
     posterior = dict(zip(keys.tolist(), post.tolist()))
-    order = F.xxhash64("text")
-    sample = texts.where(F.length("text") > 0).withColumn("o", order).orderBy("o").limit(max_training_docs).select("text")
+    # equal texts count once, so a group of copies cannot fill the sample
+    hashed = texts.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), "text")
+    keys = smallest_hashes(hashed.select("h").distinct(), "h", max_training_docs)
+    sample = hashed.join(F.broadcast(keys), "h").dropDuplicates(["h"]).select("text")
     sample = Scratch(spark, "quality").save(sample.repartition(spark.sparkContext.defaultParallelism), "sample")
     weights, bias = train(sample, posterior, buckets, rounds)
     model = spark.sparkContext.broadcast((weights, bias, posterior))
@@ -194,10 +209,12 @@ def classify_quality(
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in batches:
             w, b, soft = model.value
-            weak = np.array([soft.get(int(p), np.nan) for p in pattern_of(votes(text))])
-            yield pd.DataFrame({"weak": weak, "score": linear_scores(text, w, b)})
-
-    out = docs.withColumn("_judged", judge(F.col(text_col)))
-    out = out.withColumns({"weak_score": F.col("_judged.weak"), score_col: F.col("_judged.score")}).drop("_judged")
-    kept = ((F.col(score_col) + F.col("weak_score")) / 2 >= threshold) & (F.length(text_col) > 0)
+            m = measures(text)
+            weak = np.array([soft.get(int(p), np.nan) for p in pattern_of(votes(m))])
+            yield pd.DataFrame({"weak": weak, "score": linear_scores(text, m, w, b)})
+
+    judged = free_name(docs, "judged")
+    out = docs.withColumn(judged, judge(F.col(text_col)))
+    out = out.withColumns({"weak_score": F.col(f"{judged}.weak"), score_col: F.col(f"{judged}.score")}).drop(judged)
+    kept = (F.col(score_col) >= threshold) & (F.length(text_col) > 0)
     return out.withColumn("kept", F.coalesce(kept, F.lit(False)))
