@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import free_name
+
 LANE = 1024
 WIDTH = 2048
 UNDETERMINED = "und"
@@ -203,26 +205,28 @@ def predict_language(
     training_docs: int = 64,
     training_chars: int = 24_000,
     alphabet: int = 62,
-    max_languages: int = 64,
+    total_chars: int = 1_600_000,
 ) -> DataFrame:
     """``docs`` with ``lang_col`` and ``score_col``; ``labelled`` has columns text and lang.
 
-    The automata are fitted on a bounded sample: of each of the ``max_languages`` most frequent
-    languages the ``training_docs`` texts of the smallest hashes, cut at ``training_chars`` letters.
+    The automata of all languages are fitted on a bounded sample: of each the ``training_docs`` different
+    texts of the smallest hashes, each cut at the same number of letters and all together at
+    ``training_chars``, or at an equal share of ``total_chars`` if there are many languages.
     """
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("size"), "text")
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    keys = known.select("lang", "h").join(F.broadcast(names.select("lang")), "lang")
+    # hashes only: equal texts count once, and at most training_docs of a task's rows go on
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    keys = keys.withColumn("r", rank).where(F.col("r") <= training_docs).select("lang", "h").distinct()
-    # at most max_languages * training_docs rows
+    keys = known.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= training_docs).select("lang", "h")
+    # training_docs rows a language at most
     rows = known.join(F.broadcast(keys), ["lang", "h"]).select("lang", "h", F.substring("text", 1, 2 * training_chars).alias("text")).dropDuplicates(["lang", "h"])
     samples: dict[str, list[str]] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h)):
         samples.setdefault(r.lang, []).append(r.text)
     if not samples:
         return docs.withColumn(lang_col, F.lit(UNDETERMINED)).withColumn(score_col, F.lit(0.0))
-    shared = spark.sparkContext.broadcast(Parser.learn(samples, training_chars, alphabet))
+    chars = max(min(training_chars, total_chars // len(samples)), 1)
+    samples = {lang: [t[: max(4 * chars // len(texts), 1)] for t in texts] for lang, texts in samples.items()}
+    shared = spark.sparkContext.broadcast(Parser.learn(samples, chars, alphabet))
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -230,5 +234,6 @@ def predict_language(
             lang, score = shared.value.predict(text)
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    out = docs.withColumn("_parsed", predict(F.col(text_col)))
-    return out.withColumn(lang_col, F.col("_parsed.lang")).withColumn(score_col, F.col("_parsed.score")).drop("_parsed")
+    parsed = free_name(docs, "parsed")
+    out = docs.withColumn(parsed, predict(F.col(text_col)))
+    return out.withColumns({lang_col: F.col(f"{parsed}.lang"), score_col: F.col(f"{parsed}.score")}).drop(parsed)
