@@ -19,6 +19,43 @@ def lexical_score(text: Column, words: Column, hints: Column) -> Column:
     return F.when(n > 0, total(words, 3) + total(pairs, 8) + three + hinted).otherwise(0)
 
 
+def phrase_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, document_id, score: 3 per word, 8 per word pair, 12 per occurrence of the first three words.
+
+    questions have query_id and words, chunks document_id and folded.  Each text is read once into its words,
+    pairs and triples (next to each other by one space), which are counted per document; questions meet them by
+    an equi-join on the phrase, so texts are never joined.  Occurrences of a phrase do not overlap.
+    """
+    w, n = F.col("words"), F.size("words")
+    at = lambda i: F.element_at(w, i)
+    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.concat_ws(" ", at(i), at(i + 1)).alias("phrase"), F.lit(8).alias("weight"))))
+    three = F.when(n >= 3, F.array(F.struct(F.array_join(F.slice(w, 1, 3), " ").alias("phrase"), F.lit(12).alias("weight"))))
+    one = F.transform(w, lambda x: F.struct(x.alias("phrase"), F.lit(3).alias("weight")))
+    none = F.array().cast("array<struct<phrase:string,weight:int>>")
+    needles = questions.select("query_id", F.explode(F.concat(one, F.coalesce(pairs, none), F.coalesce(three, none))).alias("x"))
+    needles = needles.groupBy("query_id", "x.phrase").agg(F.sum("x.weight").alias("weight"))
+
+    text = chunks.select("document_id", F.regexp_extract_all("folded", F.lit(r"(?U)(\w+|\W)"), 1).alias("p"))
+    word = lambda i: F.get("p", i)
+
+    def phrases(x, i):
+        second = F.when(word(i + 1) == " ", word(i + 2))
+        third = F.when(word(i + 3) == " ", word(i + 4))
+        two, all_three = F.concat(x, F.lit(" "), second), F.concat(x, F.lit(" "), second, F.lit(" "), third)
+        again = F.when(x == second, i + 4)
+        return F.array(F.struct(x.alias("phrase"), i.alias("pos"), F.lit(None).cast("int").alias("next")), F.struct(two.alias("phrase"), i.alias("pos"), again.alias("next")), F.struct(all_three.alias("phrase"), i.alias("pos"), F.when((x == third) | (x == second), i + 6).alias("next")))
+
+    told = text.select("document_id", F.explode(F.flatten(F.transform("p", phrases))).alias("x")).select("document_id", "x.*")
+    wanted = needles.select("phrase").distinct()
+    found = told.where(F.length("phrase") >= 3).join(wanted, "phrase", "left_semi")
+    # only a phrase that begins and ends alike can overlap itself: its places are taken in order
+    places = F.array_sort(F.collect_list(F.when(F.col("next").isNotNull(), F.struct("pos", "next"))))
+    taken = F.aggregate("places", F.struct(F.lit(0).alias("free"), F.lit(0).cast("long").alias("n")), lambda s, x: F.when(x["pos"] >= s["free"], F.struct(x["next"].alias("free"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"])
+    counts = found.groupBy("document_id", "phrase").agg(F.count("*").alias("n"), places.alias("places"))
+    counts = counts.select("document_id", "phrase", F.when(F.size("places") > 0, taken).otherwise(F.col("n")).alias("n"))
+    return counts.join(needles, "phrase").groupBy("query_id", "document_id").agg(F.sum(F.col("n") * F.col("weight")).cast("int").alias("score"))
+
+
 def references(question: Column) -> dict[str, Column]:
     """Article, clause and point that a question names."""
     q = fold(question)

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import fold, marked, tokens
+from corpusloom.functions.text import fold, tokens
 from corpusloom.operators import graph, qa, relations, retrieval, structure
 
 from .standins import EDGES_SQL, edges, table
@@ -55,11 +55,9 @@ def alias_match(spark, sf):
 
 def lexical_rank(spark, sf):
     """Ten best documents of each benchmark item by weighted words and word pairs."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, 6).alias("words"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("chunk_index"), F.col("text").alias("content"))
-    pairs = retrieval.candidates(q, d, cap=1 << 30)
-    rows = pairs.join(d.select("document_id", marked(fold(F.col("content"))).alias("marked")), "document_id").join(q, "query_id")
-    rows = rows.select("query_id", "document_id", retrieval.lexical_score(F.col("marked"), F.col("words"), F.lit(None).cast("array<string>")).alias("score"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("words"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), fold(F.col("text")).alias("folded"))
+    rows = retrieval.phrase_scores(q, d).select("query_id", "document_id", "score")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))
     return rows.withColumn("rank", place).where("rank <= 10")
 
@@ -67,13 +65,13 @@ def lexical_rank(spark, sf):
 _MARKED = "chr(1) || regexp_replace({0}, '([^\\p{{L}}\\p{{N}}_])', chr(1) || '\\1' || chr(1), 'g') || chr(1)"
 _TIMES = "((length(m) - length(replace(m, {0}, ''))) // length({0}))"
 LEXICAL_SQL = f"""
-WITH q AS (SELECT item_id AS query_id, ({TOKENS.format('text')})[1:6] AS words FROM benchmark),
+WITH q AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS words FROM benchmark),
 d AS (SELECT doc_id AS document_id, {FOLD.format('text')} AS folded FROM documents),
 s AS (SELECT document_id, {_MARKED.format('folded')} AS m, regexp_extract_all(folded, '[\\p{{L}}\\p{{N}}_]+') AS w FROM d),
 p AS (SELECT DISTINCT query_id, document_id FROM (SELECT query_id, unnest(words) AS t FROM q) a JOIN (SELECT document_id, unnest(w) AS t FROM s) b USING (t)),
 n AS (SELECT query_id, document_id, words, m FROM p JOIN q USING (query_id) JOIN s USING (document_id)),
 t AS (SELECT query_id, document_id, m, words, 3 AS weight, unnest(words) AS needle FROM n
-    UNION ALL SELECT query_id, document_id, m, words, 8, words[i] || ' ' || words[i + 1] FROM n, range(1, 6) r(i) WHERE i < len(words)
+    UNION ALL SELECT query_id, document_id, m, words, 8, words[i] || ' ' || words[i + 1] FROM n, (SELECT unnest(range(1, (SELECT max(len(words)) FROM q))) AS i) WHERE i < len(words)
     UNION ALL SELECT query_id, document_id, m, words, 12, words[1] || ' ' || words[2] || ' ' || words[3] FROM n WHERE len(words) >= 3),
 c AS (SELECT query_id, document_id, m, weight, {_MARKED.format('needle')} AS needle FROM t),
 scored AS (SELECT query_id, document_id, sum(weight * {_TIMES.format('needle')})::INTEGER AS score FROM c GROUP BY 1, 2)

@@ -181,7 +181,7 @@ def anti_join_no_children(spark, sf):
 
 
 def ticket_bundle(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey <= 2000")
+    o = table(spark, sf, "orders")
     li = table(spark, sf, "lineitem")
     lines = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
     return o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left").select("o_orderkey", "o_orderstatus", "parts")
@@ -194,7 +194,9 @@ def pinned_order(spark, sf):
 
 
 def page_slice(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("place"))
+    # the page's rows and those before it: a bounded table
+    first = table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(60)
+    p = first.select("p_partkey", "p_name", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("place"))
     return p.where(F.col("place").between(41, 60))
 
 
@@ -365,7 +367,7 @@ REPORT_QUERIES = {
     ),
     "latest_run": (latest_run, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"),
     "anti_join_no_children": (anti_join_no_children, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
-    "ticket_bundle": (ticket_bundle, "SELECT o_orderkey, o_orderstatus, (SELECT string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS parts FROM orders WHERE o_orderkey <= 2000"),
+    "ticket_bundle": (ticket_bundle, "SELECT o_orderkey, o_orderstatus, parts FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"),
     "pinned_order": (
         pinned_order,
         "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY CASE n_name WHEN 'FRANCE' THEN 1 WHEN 'GERMANY' THEN 2 WHEN 'NATION_3' THEN 3 ELSE 1000 END, lower(n_name), n_nationkey)::INTEGER AS place FROM nation",
