@@ -36,18 +36,19 @@ def phrase_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     needles = needles.groupBy("query_id", "x.phrase").agg(F.sum("x.weight").alias("weight"))
 
     text = chunks.select("document_id", F.regexp_extract_all("folded", F.lit(r"(?U)(\w+|\W)"), 1).alias("p"))
-    word = lambda i: F.get("p", i)
-
-    def phrases(x, i):
-        second = F.when(word(i + 1) == " ", word(i + 2))
-        third = F.when(word(i + 3) == " ", word(i + 4))
-        two, all_three = F.concat(x, F.lit(" "), second), F.concat(x, F.lit(" "), second, F.lit(" "), third)
-        again = F.when(x == second, i + 4)
-        return F.array(F.struct(x.alias("phrase"), i.alias("pos"), F.lit(None).cast("int").alias("next")), F.struct(two.alias("phrase"), i.alias("pos"), again.alias("next")), F.struct(all_three.alias("phrase"), i.alias("pos"), F.when((x == third) | (x == second), i + 6).alias("next")))
-
-    told = text.select("document_id", F.explode(F.flatten(F.transform("p", phrases))).alias("x")).select("document_id", "x.*")
+    row = F.transform("p", lambda x, i: F.struct(x.alias("w"), i.alias("pos"), *[F.get("p", i + k).alias(f"w{k}") for k in range(1, 5)]))
+    words = text.select("document_id", F.explode(F.filter(row, lambda r: F.length(r["w"]) >= 3)).alias("r")).select("document_id", "r.*")
+    words = words.withColumn("second", F.when(F.col("w1") == " ", F.col("w2"))).withColumn("third", F.when(F.col("w3") == " ", F.col("w4")))
+    x, pos, second, third = F.col("w"), F.col("pos"), F.col("second"), F.col("third")
+    space = F.lit(" ")
+    told = F.array(
+        F.struct(x.alias("phrase"), pos, F.lit(None).cast("int").alias("next")),
+        F.struct(F.concat(x, space, second).alias("phrase"), pos, F.when(x == second, pos + 4).alias("next")),
+        F.struct(F.concat(x, space, second, space, third).alias("phrase"), pos, F.when((x == third) | (x == second), pos + 6).alias("next")),
+    )
+    told = words.select("document_id", F.explode(told).alias("x")).select("document_id", "x.*")
     wanted = needles.select("phrase").distinct()
-    found = told.where(F.length("phrase") >= 3).join(wanted, "phrase", "left_semi")
+    found = told.where("phrase is not null").join(wanted, "phrase", "left_semi")
     # only a phrase that begins and ends alike can overlap itself: its places are taken in order
     places = F.array_sort(F.collect_list(F.when(F.col("next").isNotNull(), F.struct("pos", "next"))))
     taken = F.aggregate("places", F.struct(F.lit(0).alias("free"), F.lit(0).cast("long").alias("n")), lambda s, x: F.when(x["pos"] >= s["free"], F.struct(x["next"].alias("free"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"])
