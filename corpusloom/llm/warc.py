@@ -1,7 +1,7 @@
 """WARC records as a chunked table.
 
 A record is rows (record, chunk, data): chunk 0 has the WARC and HTTP headers,
-then come payload chunks of at most ``chunk_bytes``, cut at characters, and a closing row.  In order
+then come payload chunks of at most ``chunk_bytes`` and a closing row.  In order
 of (record, chunk) the data are the bytes of a WARC 1.1 archive, so neither
 writing nor reading needs a whole record in memory: digests are carried from
 chunk to chunk, and the reader parses the header and streams the rest.
@@ -38,8 +38,6 @@ READ = "record long, page_id long, payload_bytes long, payload_digest string, re
 def _chunks(chunk_bytes: int):
     """Cuts payloads; the last row of a record has its size and digest, which are carried from chunk to chunk."""
     names = [c.split()[0] for c in CHUNK.split(", ")]
-    # a character has four bytes at most
-    step = max(chunk_bytes // 4, 1)
 
     def frame(rows):
         return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
@@ -48,17 +46,22 @@ def _chunks(chunk_bytes: int):
         rows, held = [], 0
         for f in frames:
             for record, page, url, html in zip(f["record"], f["page_id"].astype("Int64"), f["url"], f["html"]):
-                sha, size, text = hashlib.sha1(), 0, html or ""
-                for i, a in enumerate(range(0, max(len(text), 1), step)):
-                    data = text[a : a + step].encode("utf-8", "surrogatepass")
-                    sha.update(data)
-                    size += len(data)
-                    last = a + step >= len(text)
-                    rows.append((record, page, None if i else url, i + 1, data, size if last else None, base64.b32encode(sha.digest()).decode() if last else None))
-                    held += len(data)
-                    if held >= FRAME_BYTES:
-                        yield frame(rows)
-                        rows, held = [], 0
+                sha, size, chunk, text, rest = hashlib.sha1(), 0, 0, html or "", b""
+                # at most ``chunk_bytes`` characters, that is four times as many bytes, are encoded at a time
+                for a in range(0, max(len(text), 1), chunk_bytes):
+                    rest += text[a : a + chunk_bytes].encode("utf-8", "surrogatepass")
+                    end = a + chunk_bytes >= len(text)
+                    while len(rest) > chunk_bytes or end:
+                        data, rest = rest[:chunk_bytes], rest[chunk_bytes:]
+                        sha.update(data)
+                        size, chunk, held = size + len(data), chunk + 1, held + len(data)
+                        last = end and not rest
+                        rows.append((record, page, url if chunk == 1 else None, chunk, data, size if last else None, base64.b32encode(sha.digest()).decode() if last else None))
+                        if held >= FRAME_BYTES:
+                            yield frame(rows)
+                            rows, held = [], 0
+                        if last:
+                            break
         if rows:
             yield frame(rows)
 
