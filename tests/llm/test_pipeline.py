@@ -36,3 +36,26 @@ def test_different_texts_of_one_id_stay(spark):
     assert sorted(map(tuple, got), key=repr) == sorted([(None, text["a"]), (None, text["b"]), (7, text["c"]), (5, text["d"] + " z")], key=repr)
     got = corpus_pipeline.near_duplicates(spark, docs.where("doc_id = 5 or text like 'd%' or text like 'a%'"), SF).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(None, text["a"]), (5, text["d"] + " z")], key=repr)
+
+
+def test_mixing_counts_each_row_of_an_id(spark):
+    sizes = [5, 9, 14, 23, 31, 47]
+    rows = [(i % 2 or None, " ".join(f"{i}w{j}" for j in range(n)), "ab"[i % 2]) for i, n in enumerate(sizes * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.mixing(spark, docs, SF)
+    words = {r["source"]: r["n"] for r in mixed.selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    total = {s: sum(n for i, n in enumerate(sizes * 20) if "ab"[i % 2] == s) for s in "ab"}
+    goal_b = max(2 * sum(total.values()) / 7, sum(total.values()) - 3 * total["a"])
+    assert abs(words["b"] - goal_b) <= max(sizes) and abs(words["a"] - (sum(total.values()) - goal_b)) <= max(sizes)
+    assert mixed.groupBy("text").count().where("count > 3").count() == 0
+
+
+def test_names_that_clash_stay(spark):
+    names = ["_toxicity", "_lang", "_score", "_row", "_id", "_copies", "_copy", "component_id", "n", "size", "target"]
+    rows = [(i, f"the cat sat on the mat with {i} other cats and then it slept well {i * 7}", "s", *range(len(names))) for i in (1, 2, 3)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in names))
+    docs = docs.withColumns({"lang": docs.source, "n_chars": docs.n})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))], name
