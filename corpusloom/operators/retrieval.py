@@ -9,14 +9,19 @@ from corpusloom.functions.numeric import clamp, cosine
 from corpusloom.functions.text import fold, marked, tokens, whole_word_count
 
 
+def hint_score(text: Column, hints: Column) -> Column:
+    """10 per occurrence of each hint in marked folded text."""
+    folded = F.transform(hints, fold)
+    return F.when(F.size(hints) > 0, F.aggregate(folded, F.lit(0), lambda s, t: s + whole_word_count(text, t) * 10)).otherwise(0)
+
+
 def lexical_score(text: Column, words: Column, hints: Column) -> Column:
     """3 per word, 8 per word pair, 12 per occurrence of the first three words, 10 per hint, in marked folded text."""
     total = lambda array, weight: F.aggregate(array, F.lit(0), lambda s, t: s + whole_word_count(text, t) * weight)
     n = F.size(words)
     pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
     three = F.when(n >= 3, whole_word_count(text, F.array_join(F.slice(words, 1, 3), " ")) * 12).otherwise(0)
-    hinted = total(F.transform(F.coalesce(hints, F.array().cast("array<string>")), fold), 10)
-    return F.when(n > 0, total(words, 3) + total(pairs, 8) + three + hinted).otherwise(0)
+    return F.when(n > 0, total(words, 3) + total(pairs, 8) + three + hint_score(text, hints)).otherwise(0)
 
 
 def phrase_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -104,27 +109,71 @@ def hybrid_rank(candidates: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, cap: int = 5000) -> DataFrame:
-    """Pairs of questions and chunks that share a folded word, the first ``cap`` of each question in document order.
+def search_terms(words: Column, hints: Column) -> Column:
+    """The first eight words and four hints, those of three letters or more, in lower case."""
+    some = lambda x, n: F.slice(F.coalesce(x, F.array().cast("array<string>")), 1, n)
+    long = F.filter(F.concat(some(words, 8), some(hints, 4)), lambda t: F.length(t) >= 3)
+    return F.array_distinct(F.transform(long, F.lower))
+
 
-    Both sides are exploded to distinct words, so the join is on a word and not a cross product;
-    words that no question has are dropped on the chunks' side by the join itself.
+def prefilter(questions: DataFrame, chunks: DataFrame, cap: int = 5000) -> DataFrame:
+    """Pairs of questions (query_id, words, hints) and chunks that hold a term of the question as a part of their text, without case.
+
+    The first ``cap`` chunks of each question in document order count.  A term is looked up by its first three
+    letters, so chunks and terms meet in an equi-join; texts stay out of that join and are read once for the terms
+    that they may hold.  A term is taken as it is: it has no wildcards.
     """
-    asked = questions.select("query_id", F.explode(F.array_distinct(F.slice("words", 1, 8))).alias("word"))
-    told = chunks.select("document_id", "chunk_index", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
-    pairs = told.join(asked, "word").select("query_id", "document_id", "chunk_index").distinct()
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "chunk_index"))
+    key = ["document_id", "chunk_index"]
+    parts = [c for c in ("retrieval_text", "content", "section_title") if c in chunks.columns]
+    told = chunks.select(*key, F.lower(F.concat_ws("\x00", *parts)).alias("low"))
+    asked = questions.select("query_id", F.explode(search_terms(F.col("words"), F.col("hints"))).alias("term"))
+    wanted = asked.select("term", F.substring("term", 1, 3).alias("gram")).distinct()
+    grams = F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), 1))
+    met = told.select(*key, F.explode(grams).alias("gram")).join(wanted, "gram").groupBy(*key).agg(F.collect_set("term").alias("terms"))
+    held = F.filter("terms", lambda t: F.contains(F.col("low"), t))
+    pairs = met.join(told, key).select(*key, F.explode(held).alias("term")).join(asked, "term").select("query_id", *key).distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*key))
     return pairs.withColumn("place", place).where(F.col("place") <= cap).drop("place")
 
 
+def too_short(questions: DataFrame) -> DataFrame:
+    """Questions without a word, which cannot be searched for."""
+    return questions.where(F.coalesce(F.size("words"), F.lit(0)) <= 0)
+
+
+def candidates(questions: DataFrame, chunks: DataFrame, cap: int = 5000, block: int = 64) -> DataFrame:
+    """Pairs of the prefilter; questions that it finds nothing for, or that have no term for it, meet all chunks.
+
+    Those questions are dealt to blocks of about ``block``, and each chunk is read once per block.
+    """
+    asked = questions.where(F.size("words") > 0)
+    found = prefilter(asked, chunks, cap)
+    missed = asked.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    blocks = missed.agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = missed.join(F.broadcast(blocks), F.lit(True)).select("query_id", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"))
+    dealt = dealt.groupBy("block").agg(F.collect_list("query_id").alias("ids"))
+    each = F.when(F.col("blocks") > 0, F.sequence(F.lit(0), F.col("blocks") - 1))
+    every = chunks.select("document_id", "chunk_index").join(F.broadcast(blocks), F.lit(True)).withColumn("block", F.explode(each))
+    every = every.join(dealt, "block").select(F.explode("ids").alias("query_id"), "document_id", "chunk_index")
+    return found.unionByName(every)
+
+
 def search(questions: DataFrame, chunks: DataFrame, limit: int = 5, cap: int = 5000) -> DataFrame:
-    """Hybrid search: questions (query_id, text, hints, vector), chunks (document_id, chunk_index, content, numbers, labels, vector, boost)."""
+    """Hybrid search: questions (query_id, text, hints, vector), chunks (document_id, chunk_index, content, numbers, labels, vector, boost).
+
+    Questions without a word give no rows (``too_short`` names them).
+    """
     q = questions.withColumn("words", tokens(F.col("text")))
     pairs = candidates(q, chunks, cap)
-    told = chunks.withColumn("marked", marked(fold(F.col("content"))))
-    rows = pairs.join(told, ["document_id", "chunk_index"]).join(q.select("query_id", F.col("text").alias("question"), "words", "hints", F.col("vector").alias("query_vector")), "query_id")
+    folded = fold(F.col("content"))
+    told = chunks.withColumn("marked", marked(folded))
+    rows = pairs.join(told, ["document_id", "chunk_index"]).join(q.select("query_id", F.col("text").alias("question"), "hints", F.col("vector").alias("query_vector")), "query_id")
+    # words are counted once per chunk and meet the questions by an equi-join; only hints look at the text of a pair
+    phrases = phrase_scores(q.where(F.size("words") > 0), chunks.select(F.struct("document_id", "chunk_index").alias("document_id"), folded.alias("folded")))
+    phrases = phrases.select("query_id", "document_id.*", F.col("score").alias("phrases"))
+    rows = rows.join(phrases, ["query_id", "document_id", "chunk_index"], "left")
     asked = references(F.col("question"))
-    rows = rows.withColumn("lexical", lexical_score(F.col("marked"), F.col("words"), F.col("hints"))).withColumn("semantic", cosine(F.col("query_vector"), F.col("vector")))
+    rows = rows.withColumn("lexical", F.coalesce("phrases", F.lit(0)) + hint_score(F.col("marked"), F.col("hints"))).withColumn("semantic", cosine(F.col("query_vector"), F.col("vector")))
     rows = rows.withColumn("reference", reference_bonus(asked, F.col("article_number"), F.col("clause_number"), F.col("point_number")))
     rows = rows.withColumn("citation", citation_bonus(F.col("question"), F.col("citation_label"), F.col("section_title"))).withColumn("char_count", F.length("content"))
     return hybrid_rank(rows, limit)

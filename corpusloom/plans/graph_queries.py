@@ -254,6 +254,59 @@ def chunk_offsets(spark, sf):
     return annotation.source_text(c).select("doc_id", "chunk_index", "start", "stop")
 
 
+HINTS = ("information", "new data")
+
+
+def search_tables(spark, sf):
+    """Benchmark items as questions that name an article, documents as chunks of articles."""
+    asked = F.concat("text", F.lit(" dieu "), (F.col("item_id") % 5 + 1).cast("string"))
+    hints = F.when(F.col("item_id") % 2 == 0, F.array(*map(F.lit, HINTS)))
+    none = F.lit(None).cast("array<double>").alias("vector")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text"), hints.alias("hints"), none)
+    article = (F.col("doc_id") % 7).cast("string")
+    no = F.lit(None).cast("string")
+    c = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), article.alias("article_number"), no.alias("clause_number"), no.alias("point_number"),
+        no.alias("section_title"), F.concat(F.lit("\u0110i\u1ec1u "), article).alias("citation_label"), none, (F.col("doc_id") % 30 - 10).alias("boost"),
+    )
+    return q, c
+
+
+def search_prefilter(spark, sf):
+    q, c = search_tables(spark, sf)
+    return retrieval.prefilter(q.withColumn("words", tokens(F.col("text"))), c).select("query_id", "document_id")
+
+
+def search(spark, sf):
+    """Five best chunks of each question by words, hints, the article it names and the document's boost."""
+    return retrieval.search(*search_tables(spark, sf)).select("query_id", "document_id", "score", "rank")
+
+
+_SEARCH = f"""
+WITH a AS (SELECT item_id AS query_id, text || ' dieu ' || (item_id % 5 + 1) AS question, CASE WHEN item_id % 2 = 0 THEN {list(HINTS)} ELSE []::VARCHAR[] END AS hints FROM benchmark),
+q AS (SELECT query_id, question, hints, {TOKENS.format('question')} AS words FROM a),
+d AS (SELECT doc_id AS document_id, text, lower(text) AS low, doc_id % 7 AS article, doc_id % 30 - 10 AS boost, {FOLD.format('text')} AS folded FROM documents),
+term AS (SELECT DISTINCT query_id, lower(t) AS t FROM (SELECT query_id, unnest(list_concat(words[1:8], hints[1:4])) AS t FROM q) WHERE length(t) >= 3),
+pre AS (SELECT query_id, document_id FROM (SELECT DISTINCT query_id, document_id FROM term JOIN d ON contains(low, t)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY document_id) <= 5000)
+"""
+SEARCH_SQL = f"""{_SEARCH},
+pair AS (SELECT * FROM pre UNION ALL SELECT query_id, document_id FROM q, d WHERE len(words) > 0 AND query_id NOT IN (SELECT query_id FROM pre)),
+s AS (SELECT document_id, {_MARKED.format('folded')} AS m FROM d),
+n AS (SELECT query_id, document_id, words, hints, m FROM pair JOIN q USING (query_id) JOIN s USING (document_id)),
+t AS (SELECT query_id, document_id, m, 3 AS weight, unnest(words) AS needle FROM n
+    UNION ALL SELECT query_id, document_id, m, 8, words[i] || ' ' || words[i + 1] FROM n, (SELECT unnest(range(1, (SELECT max(len(words)) FROM q))) AS i) WHERE i < len(words)
+    UNION ALL SELECT query_id, document_id, m, 12, words[1] || ' ' || words[2] || ' ' || words[3] FROM n WHERE len(words) >= 3
+    UNION ALL SELECT query_id, document_id, m, 10, unnest(hints) FROM n),
+c AS (SELECT query_id, document_id, m, weight, {_MARKED.format('needle')} AS needle FROM t),
+l AS (SELECT query_id, document_id, sum(weight * {_TIMES.format('needle')})::INTEGER AS lexical FROM c GROUP BY 1, 2),
+x AS (SELECT query_id, document_id, lexical, boost, length(text) AS n, article = query_id % 5 + 1 AS named FROM l JOIN d USING (document_id)),
+k AS (SELECT *, max(lexical) OVER (PARTITION BY query_id) AS best FROM x WHERE lexical > 0 OR named),
+r AS (SELECT query_id, document_id, n, greatest(0, round_even((CASE WHEN best > 0 THEN lexical::DOUBLE / best ELSE 0.0::DOUBLE END * 0.46::DOUBLE + 0.0::DOUBLE * 0.36::DOUBLE + CASE WHEN named THEN 0.22::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN named THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + greatest(-0.12::DOUBLE, least(0.12::DOUBLE, boost::DOUBLE / 100))) * 100::DOUBLE, 0)::INTEGER) AS score FROM k)
+SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, document_id)::INTEGER AS rank FROM r QUALIFY rank <= 5
+"""
+
+
 def edited_texts(spark, sf):
     from corpusloom.operators import editing
 
@@ -285,4 +338,6 @@ GRAPH_QUERIES |= {
         sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> ''), chr(10))) AS dense FROM documents""",
     ),
     "text_scores": (text_scores, None),
+    "search_prefilter": (search_prefilter, _SEARCH + "SELECT query_id, document_id FROM pre"),
+    "search": (search, SEARCH_SQL),
 }

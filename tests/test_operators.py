@@ -1,7 +1,9 @@
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import tokens
 from corpusloom.operators import annotation, editing, graph, identity, metadata, qa, relations, retrieval, rules
 
 DAY = datetime.date(2026, 1, 15)
@@ -58,6 +60,30 @@ def test_search(spark):
     assert [r.document_id for r in got] == [1, 2]
 
 
+def test_prefilter_and_scan(spark):
+    asked = [(1, "labour", None, None), (2, "zzyzx", None, [1.0, 0.0]), (3, "of a", None, [1.0, 0.0]), (4, "unknown", ["LABOUR law"], None), (5, None, None, None)]
+    q = spark.createDataFrame(asked, "query_id long, text string, hints array<string>, vector array<double>")
+    rows = [(1, 1, "All labours of men", None, [0.0, 1.0]), (1, 2, None, "Labour law", None), (2, 1, "lab our", None, [1.0, 0.0]), (3, 1, "", None, None)]
+    c = spark.createDataFrame([(*r[:3], None, None, None, r[3], None, r[4], 0) for r in rows], "document_id long, chunk_index int, content string, article_number string, clause_number string, point_number string, section_title string, citation_label string, vector array<double>, boost int")
+    words = q.withColumn("words", tokens(F.col("text")))
+    pairs = lambda df: sorted((r.query_id, r.document_id, r.chunk_index) for r in df.collect())
+    found = [(1, 1, 1), (1, 1, 2), (4, 1, 2)]
+    assert pairs(retrieval.prefilter(words, c)) == found
+    assert pairs(retrieval.prefilter(words, c, cap=1)) == [(1, 1, 1), (4, 1, 2)]
+    # a question that finds nothing meets every chunk, one without a word none
+    assert pairs(retrieval.candidates(words, c)) == sorted(found + [(2, *r[:2]) for r in rows])
+    assert pairs(retrieval.candidates(words, c.limit(0))) == [] == pairs(retrieval.candidates(words.limit(0), c))
+    assert sorted(r.query_id for r in retrieval.too_short(words).collect()) == [3, 5]
+    assert [(r.query_id, r.document_id, r.score) for r in retrieval.search(q, c).where("query_id = 2").collect()] == [(2, 2, 36)]
+
+
+def test_code_places(spark):
+    text = "Theo 45/2019/QH14 v\u00e0 5/2019/QH14; thay th\u1ebf 5/2019/QH14."
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(relations.code_places(F.col("t")).alias("p")).collect()
+    assert [(x.raw, x.start) for x in got[0].p] == [(m.group(1), m.start() + 1) for m in re.finditer(relations.CODE, text)]
+    assert len(got[0].p) == 3 and got[1].p == [] and got[2].p is None
+
+
 def test_concepts_and_graph(spark):
     q = spark.createDataFrame([(1, "quyền sử dụng đất"), (2, "nhà đầu tư có đất để sử dụng quyền")], "query_id long, text string")
     a = spark.createDataFrame([(1, "land", "Quyền sử dụng đất", 0)], "concept_id int, name string, alias string, alias_order int")
