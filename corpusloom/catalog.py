@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans.annotation_queries import ANNOTATION_QUERIES
 from corpusloom.plans.graph_queries import GRAPH_QUERIES, lexical_rank
 from corpusloom.plans.report_queries import REPORT_QUERIES
 from corpusloom.plans.text_queries import TEXT_QUERIES
 from corpusloom.plans.workflow_queries import WORKFLOW_QUERIES
 
-ALL = TEXT_QUERIES | REPORT_QUERIES | GRAPH_QUERIES | WORKFLOW_QUERIES
+ALL = TEXT_QUERIES | REPORT_QUERIES | GRAPH_QUERIES | WORKFLOW_QUERIES | ANNOTATION_QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
