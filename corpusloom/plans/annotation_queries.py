@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.context import excerpt
 from corpusloom.functions.text import fold
 from corpusloom.operators import answers as A
 from corpusloom.operators import prelabel as P
@@ -134,6 +135,13 @@ def document_benchmark(spark, sf):
     return d.withColumn("overall", A.benchmark_score(F.col("metadata"), F.col("chunks"), F.col("retrieval"), F.col("review")))
 
 
+_ALIASES = ("und", "les", "with", "para", "on a")
+
+
+def target_excerpts(spark, sf):
+    return documents(spark, sf).select("id", excerpt(F.col("text"), F.array(*map(F.lit, _ALIASES))).alias("excerpt"))
+
+
 _FILLED = " + ".join(f"(coalesce({c}::VARCHAR, '') <> '')::INTEGER" for c in ("title", "legal_domain", "document_type", "document_code", "issuing_authority", "authority_level", "signed_date", "effective_date", "legal_status"))
 _HELD = " UNION ALL ".join(f"SELECT '{concept}' AS concept, min(id) AS document_id FROM t WHERE " + " OR ".join(f"contains(x, '{w}')" for w in words) for concept, words in _MARKERS.items())
 
@@ -173,4 +181,11 @@ ANNOTATION_QUERIES = {
         d AS (SELECT id, round_even(filled, 3) AS metadata, CASE WHEN text IS NULL THEN 0.0 ELSE round_even((n // 2) / n * 0.7::DOUBLE + least((length(text) - n + 1) / n / 420, 1.0::DOUBLE) * 0.3::DOUBLE, 3) END AS chunks, id % 6 / 5 AS retrieval,
             round_even(CASE WHEN m = 'reviewed' THEN 1.0 ELSE 0.45 END::DOUBLE * 0.65::DOUBLE + CASE id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 ELSE 0.1 END::DOUBLE * 0.35::DOUBLE, 3) AS review FROM s)
         SELECT *, round_even(metadata * 0.3::DOUBLE + chunks * 0.2::DOUBLE + retrieval * 0.35::DOUBLE + review * 0.15::DOUBLE, 3) AS overall FROM d"""),
+    "target_excerpts": (target_excerpts, f"""WITH y AS (SELECT doc_id AS id, text, regexp_replace(strip_accents(lower(text)), '[^a-z0-9/]', ' ', 'g') AS y FROM documents),
+        c AS (SELECT *, string_split(y, '') AS cs, trim(regexp_replace(y, ' +', ' ', 'g')) AS f, length(rtrim(y)) AS n FROM y),
+        k AS (SELECT id, text, f, list_filter(range(1, n + 1), lambda i: cs[i] <> ' ' OR (i > 1 AND cs[i - 1] <> ' ' )) AS kept FROM c),
+        a AS (SELECT id, min({{'at': instr(f, alias), 'n': length(alias)}}) AS hit FROM k, (VALUES {", ".join(f"('{a}')" for a in _ALIASES)}) v(alias) WHERE contains(f, alias) GROUP BY id),
+        b AS (SELECT id, text, kept[greatest(hit.at - 120, 1)] AS first, kept[least(hit.at + hit.n + 119, len(kept))] AS last FROM k JOIN a USING (id)),
+        e AS (SELECT id, substr(trim(regexp_replace(substr(text, greatest(first - 60, 1), last + 59 - greatest(first - 61, 0)), '[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+', ' ', 'g')), 1, 280) AS excerpt FROM b)
+        SELECT doc_id AS id, excerpt FROM documents LEFT JOIN e ON doc_id = e.id"""),
 }
