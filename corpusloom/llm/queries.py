@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filter_audit import audit_filters
 from .jaccard_join import jaccard_components
 from .language_id import predict_language
 from .packing import pack_documents
 from .quality_classifier import classify_quality
 from .quality_rules import judge_quality
+from .sharding import shard_documents
 from .source_mixing import mix_sources
 from .store import bounded_batches, smallest_hashes
 from .topk_search import top_k
 from .toxicity import score_toxicity
 from .url_filters import judge_urls
+from .vector_codes import compress
 from .warc import read_archive, write_archive
 
 #: labelled rows that a model is fitted on at most
@@ -112,9 +115,20 @@ def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
+def op11_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_heap_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lattice_edge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_weak_label_quality,
         op2_entropy_balanced_mix,
@@ -126,8 +140,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_ngram_ratio_rules,
         op9_cost_balanced_packing,
         op10_mtree_topk,
+        op11_sampled_splitter_shards,
+        op12_heap_lloyd_codes,
+        op13_lattice_edge_audit,
     )
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 URL_SQL = r"""
@@ -165,5 +182,83 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Lloyd's method without bounds: every part against every entry."""
+    steps = [
+        f"""good AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, len(embedding) // {parts} AS w
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)
+), part AS MATERIALIZED (
+    SELECT vec_id, p, list_slice(v, p * w + 1, (p + 1) * w) AS x FROM good, (SELECT unnest(range({parts})) AS p)
+), book0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""near{i} AS MATERIALIZED (
+    SELECT vec_id, p, any_value(x) AS x, arg_min(e, d * {entries} + e) AS e, min(d) AS d
+    FROM (SELECT vec_id, part.p, e, x, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d FROM part JOIN book{i} ON part.p = book{i}.p)
+    GROUP BY vec_id, p
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""mean{i} AS (
+    SELECT p, e, list(floor(s / n) ORDER BY i) AS c
+    FROM (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM near{i}) GROUP BY p, e, i)
+    GROUP BY p, e
+), book{i + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} m ON b.p = m.p AND b.e = m.e
+)"""
+            )
+    last = f"near{rounds}"
+    return f"""
+WITH {', '.join(steps)}, coded AS (
+    SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM {last} GROUP BY vec_id
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN good USING (vec_id), digest
+"""
+
+
+AUDIT_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+    SELECT doc_id, max(coalesce(quality = 1, false)::INTEGER) AS good, max(coalesce(toxic = 1, false)::INTEGER) AS toxic FROM labels GROUP BY 1
+), failing AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+        + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+        + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS fails
+    FROM texts LEFT JOIN marks USING (doc_id)
+), cells AS (
+    SELECT part, fails, good, toxic, count(*) AS n FROM failing GROUP BY ALL
+), walk AS (
+    SELECT '' AS filter_order, 0 AS step, 0 AS applied, 0 AS bit
+    UNION ALL
+    SELECT filter_order || chr(65 + f), step + 1, applied + bit, 1 << f FROM walk, (SELECT unnest(range(5))::INTEGER AS f) WHERE ((applied + bit) >> f) & 1 = 0
+), whole AS (
+    SELECT filter_order FROM walk WHERE step = 5
+), steps AS (
+    SELECT whole.filter_order, step, applied, bit FROM whole JOIN walk ON step > 0 AND walk.filter_order = whole.filter_order[1:step]
+), counted AS (
+    SELECT part, filter_order, step, bit, sum(CASE WHEN fails & (applied + bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN fails & applied = 0 AND fails & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN fails & applied <> 0 AND fails & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN fails & applied = 0 AND fails & bit <> 0 THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN fails & applied = 0 AND fails & bit <> 0 THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter_sweep": URL_SQL, "op10_mtree_topk": TOPK_SQL}
+    return {"op7_url_filter_sweep": URL_SQL, "op10_mtree_topk": TOPK_SQL, "op12_heap_lloyd_codes": _codes_sql(), "op13_lattice_edge_audit": AUDIT_SQL}
