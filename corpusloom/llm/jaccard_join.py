@@ -57,7 +57,8 @@ from pyspark.sql import functions as F
 from .store import Scratch
 from .words import groups, mix, windows, words_of
 
-NULL_ID = -(1 << 63)
+#: stands for a null id; the largest number, so that it is a component's root only if there is no other
+NULL_ID = (1 << 63) - 1
 BLOCK_KEYS = 1_000_000
 HOT_ROWS = 2_000
 BROADCAST_KEYS = 100_000

@@ -94,3 +94,13 @@ def test_random_repeated_ids(spark):
     docs = [(i % 90, t) for i, t in corpus(5)] + corpus(5)[:5]
     got = jaccard_components(spark, spark.createDataFrame([(d, t, 0) for d, t in docs], SCHEMA), region_cap=3, rounds=2)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(docs)
+
+
+def test_null_ids_never_name_others(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *more: " ".join([*base, *more])
+    docs = [(None, near()), (7, near("x")), (9, near("x", "y")), (None, "alone " * 3), (3, "quite different words " * 4), (12, None)]
+    got = jaccard_components(spark, spark.createDataFrame([(*d, 1) for d in docs[:3] + docs[4:]], SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(docs[:3] + docs[4:])
+    got = jaccard_components(spark, spark.createDataFrame([(*d, 1) for d in docs], SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(docs)
