@@ -12,8 +12,10 @@ is tried, and within a page the stored d(x, router) plays the same part.
 Queries come in blocks too; each pair of blocks is one task group, and the best
 k of each are merged, ties to the smaller id.  Defined results: vectors that are
 null, empty or hold null or non-finite components take no part; only vectors of
-one length are compared; a repeated id counts once (with its least vector) and
-never answers itself; extra columns are ignored; no vectors give no rows.
+one length are compared; rows are told apart by themselves, so a row that shares its
+id with a query is a candidate like others; rows without an id are candidates,
+too, and come last among equal scores; extra columns are ignored; no vectors give
+no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from .store import Scratch
 
 PAGE = 256
 FANOUT = 8
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query long, query_id long, vec_id long, score long"
+#: stands for a null id, after all others
+NULL_ID = (1 << 63) - 1
 
 
 class Node:
@@ -67,15 +71,15 @@ class Node:
 
 
 class MTree:
-    def __init__(self, x: np.ndarray, ids: np.ndarray):
-        self.x, self.ids = x, ids
+    def __init__(self, x: np.ndarray, ids: np.ndarray, row_keys: np.ndarray):
+        self.x, self.ids, self.row_keys = x, ids, row_keys
         self.root = Node(x, np.arange(len(x)), None)
         self.longest = float(np.sqrt((x**2).sum(axis=1).max()))
         # products of doubles are exact up to 2**53; larger components go through 64-bit integers
         self.whole = x.astype(np.int64) if x.shape[1] * float(np.abs(x).max()) ** 2 >= 2.0**53 else None
 
     def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows of other ids, best first, ties to the smaller id."""
+        """(score, id) of the k best rows but ``own``, best first, ties to the smaller id."""
         length = float(np.sqrt(q @ q))
         slack = 1e-6 * (1 + length) * (1 + self.longest)
         best: list[tuple[int, int]] = []
@@ -93,9 +97,9 @@ class MTree:
                 if floor > -np.inf:
                     # a row at distance d from the router scores at most middle + length * d
                     rows = rows[middle + length * node.distances + slack >= floor]
-                rows = rows[self.ids[rows] != own]
+                rows = rows[self.row_keys[rows] != own]
                 scores = self.x[rows] @ q if self.whole is None else self.whole[rows] @ q.astype(np.int64)
-                if len(best) + len(rows) > k and len(rows) > k:
+                if len(rows) > k:
                     keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                     rows, scores = rows[keep], scores[keep]
                 best += [(int(s), int(i)) for s, i in zip(scores, self.ids[rows]) if s >= floor]
@@ -115,6 +119,9 @@ class MTree:
         return best
 
 
+COLUMNS = ["query", "query_id", "vec_id", "score"]
+
+
 def _stack(vectors) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in vectors])
 
@@ -126,21 +133,22 @@ def _search(k: int):
             sizes, wanted = candidates["v"].map(len), queries["v"].map(len)
             for d in sorted(set(sizes) & set(wanted)):
                 part, asked = candidates[sizes == d], queries[wanted == d]
-                tree = MTree(_stack(part["v"]), part["vec_id"].to_numpy(dtype=np.int64))
-                rows = [(own, i, s) for own, q in zip(asked["vec_id"].tolist(), _stack(asked["v"])) for s, i in tree.search(q, own, k)]
-                found.append(pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64"))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                tree = MTree(_stack(part["v"]), part["vec_id"].to_numpy(dtype=np.int64), part["row"].to_numpy(dtype=np.int64))
+                wanted_rows = zip(asked["row"].tolist(), asked["vec_id"].tolist(), _stack(asked["v"]))
+                rows = [(own, name, i, s) for own, name, q in wanted_rows for s, i in tree.search(q, own, k)]
+                found.append(pd.DataFrame(rows, columns=COLUMNS).astype("int64"))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in COLUMNS}, dtype="int64")
 
     return run
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): one valid integer vector per id."""
+    """(vec_id, v, row): valid integer vectors; ``row`` tells rows apart and is fixed once the table is written."""
     v = F.col(vector_col)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    good = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, finite))
-    return good.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    good = vectors.where((F.size(v) > 0) & F.forall(v, finite))
+    return good.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("vec_id"), whole.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def top_k(
@@ -156,13 +164,15 @@ def top_k(
     """query_id, rank, vec_id, score: queries are the ids divisible by ``every``, candidates all other rows."""
     spark = vectors.sparkSession
     flat = Scratch(spark, "topk").save(quantised(vectors, id_col, vector_col, scale), "vectors")
-    asks = F.col("vec_id") % every == 0
+    asks = (F.col("vec_id") % every == 0) & (F.col("vec_id") != NULL_ID)
     n, n_queries = flat.agg(F.count("*"), F.count_if(asks)).first()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
-    deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    deal = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = flat.select("vec_id", "v", deal(blocks).alias("b"), all_of(query_blocks).alias("qb"))
-    right = flat.where(asks).select("vec_id", "v", deal(query_blocks).alias("qb"), all_of(blocks).alias("b"))
+    left = flat.select("vec_id", "v", "row", deal(blocks).alias("b"), all_of(query_blocks).alias("qb"))
+    right = flat.where(asks).select("vec_id", "v", "row", deal(query_blocks).alias("qb"), all_of(blocks).alias("b"))
     found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(_search(k), FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NULL_ID)).alias("vec_id"), "score"
+    )

@@ -90,7 +90,7 @@ def test_top_k_against_brute_force(spark):
     x = rng.normal(size=(700, 6)) + rng.integers(0, 3, size=(700, 1)) * 2
     x[100:300] = x[100]
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
-    rows += [(5000, None), (5050, [1.0, None]), (5100, [float("nan")] * 6), (5150, [float("inf")] + [0.0] * 5), (5200, []), (5250, [1.0, 2.0]), (5251, [3.0, 1.0]), (None, [0.0] * 6), (3, rows[3][1])]
+    rows += [(5000, None), (5050, [1.0, None]), (5100, [float("nan")] * 6), (5150, [float("inf")] + [0.0] * 5), (5200, []), (5250, [1.0, 2.0]), (5251, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
     for r in topk_search.top_k(df, block=150, query_block=5).collect():
@@ -104,6 +104,16 @@ def test_top_k_against_brute_force(spark):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_tells_rows_apart(spark):
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [9.0, 0.5]), (0, [1.0, 1.0]), (None, [2.0, 0.0]), (None, None), (2, [2.0, 0.0]), (2, [2.0, 0.0])]
+    got = topk_search.top_k(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, row int, query int"), k=4).collect()
+    want = []
+    for i in (0, 3):
+        dots = [(-sum(int(256 * a) * int(256 * b) for a, b in zip(v, rows[i][1])), d is None, d or 0, d) for j, (d, v) in enumerate(rows) if v is not None and j != i]
+        want += [(0, n + 1, d, -s) for n, (s, _, _, d) in enumerate(sorted(dots, key=lambda x: x[:3])[:4])]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_query_keeps_every_page(spark):
     got = queries.op7_url_filter_sweep(spark, "/root/testdata/sf0.01")
     assert got.count() == 250 and got.where(F.col("verdict") == "block").count() > 0
