@@ -11,7 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a question (accent-folded).
-STOP_WORDS = "cua cho co can cau duoc hay khi la lam nguoi nay neu nhung sau tai thi the theo toi tren va voi".split()
+STOP_WORDS = [
+    "cua", "cho", "co", "can", "cau", "duoc", "hay", "khi", "la", "lam", "nguoi", "nay", "neu", "nhung", "sau", "tai", "thi", "the", "theo", "toi", "tren", "va", "voi",
+]
 
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _HEAD = r"^(?i)\s*(Điều|Dieu|Chương|Chuong|Mục|Muc|Phần|Phan|Khoản|Khoan|\d+\.|[a-zđ]\))"
 
@@ -23,19 +19,15 @@ def drop_blank_lines(x: Column) -> Column:
 
 
 def join_broken_lines(x: Column) -> Column:
-    """A line goes on from the one before unless either is blank or it begins like a heading."""
-    lines = F.transform(F.split(x, r"\r?\n"), F.trim)
+    """A line goes on from the one before unless either is blank or begins like a heading.
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        apart = (F.size(acc) == 0) | (s == "") | (F.coalesce(last, F.lit("")) == "") | s.rlike(_HEAD) | F.coalesce(last, F.lit("")).rlike(_HEAD)
-        return F.when(apart, F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last, s))))
-
-    empty = F.expr("cast(array() as array<string>)")
-    # an empty accumulator has no last element
-    first = F.slice(lines, 1, 1)
-    rest = F.when(F.size(lines) > 1, F.slice(lines, F.lit(2), F.size(lines) - 1)).otherwise(empty)
-    return F.array_join(F.aggregate(rest, first, step), "\n")
+    A line that goes on is joined to one that is neither, so a joined line begins like a heading only if its
+    last part's neighbour does, and each line is decided by itself and the one before.
+    """
+    lines = F.transform(F.split(x, r"\r?\n"), F.trim)
+    stops = F.transform(lines, lambda s: (s == "") | s.rlike(_HEAD))
+    mark = lambda i: F.when(F.get(stops, i) | F.get(stops, i - 1), "\n").otherwise(" ")
+    return F.array_join(F.transform(lines, lambda s, i: F.concat(F.when(i == 0, "").otherwise(mark(i)), s)), "")
 
 
 def split_headings(x: Column) -> Column:
@@ -60,45 +52,27 @@ def replace_all(text: Column, needle: str, by: str) -> Column:
 # Digits that scanning takes for letters.
 CONFUSED = ("013457", "oieast")
 # Folded syllables of statutes.
-LEXICON = frozenset(
-    "ap biet bo ca cap chi chinh chiu chuong co cua dac dai dat dieu diem dinh do doi doanh du dung giai hanh hieu hoi hop khoan kien luat luc muc nghia nghi ngu "
-    "nguyen ngoai nhan noi nuoc phep pham phu quoc quyen quy tai tac thich thi thong tiet to truong tu tuong van vi vu xet".split()
-)
+LEXICON = frozenset((
+    "ap", "biet", "bo", "ca", "cap", "chi", "chinh", "chiu", "chuong", "co", "cua", "dac", "dai", "dat", "dieu", "diem", "dinh", "do", "doi", "doanh", "du", "dung", "giai",
+    "hanh", "hieu", "hoi", "hop", "khoan", "kien", "luat", "luc", "muc", "nghia", "nghi", "ngu", "nguyen", "ngoai", "nhan", "noi", "nuoc", "phep", "pham", "phu", "quoc", "quyen", "quy", "tai",
+    "tac", "thich", "thi", "thong", "tiet", "to", "truong", "tu", "tuong", "van", "vi", "vu", "xet",
+))
 
 
 def unconfused(x: Column) -> Column:
     return F.translate(x, *CONFUSED)
 
 
-def _repair(token: str) -> str:
-    import difflib
-    import re
-
-    m = re.match(r"^(\W*)(\w+)(\W*)$", token)
-    if m is None or m[2].isdigit() or len(m[2]) < 2 or not any(c.isdigit() for c in m[2]):
-        return token
-    plain = m[2].lower().translate(str.maketrans(*CONFUSED))
-    if plain not in LEXICON:
-        close = difflib.get_close_matches(plain, sorted(LEXICON), n=1, cutoff=0.84) if len(plain) >= 4 and plain.isalpha() else []
-        if not close:
-            return token
-        plain = close[0]
-    shown = plain.upper() if m[2].isupper() else plain.capitalize() if m[2][:1].isupper() and m[2][1:].islower() else plain
-    return m[1] + shown + m[3]
-
-
-@F.pandas_udf(StringType())
-def repair_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Tokens with confused digits replaced by syllables of statutes; white space collapses."""
-    for text in texts:
-        yield text.map(lambda t: None if t is None else " ".join(_repair(x) for x in t.split()))
+# What a line of a scanned statute begins with.
+_LETTER = "[A-ZĐÀÁẢÃẠĂÂa-zđ]"
+SCANNED_STARTS = (
+    r"(?:PHẦN|Phần|Phan|Chương|Chuong|Mục|Muc)\s+[A-Z0-9IVXLCĐđ]", r"(?:Điều|Dieu)\s+\d+[A-Za-z]*", rf"(?:Khoản|Khoan)\s+\d+\s+{_LETTER}", rf"\d+[\.:\-]\s+{_LETTER}", rf"[a-zđ][\)\.:\-]\s+{_LETTER}",
+)
 
 
 def scanned_lines(x: Column) -> Column:
     """Line breaks before headings, articles, clauses and points of a text that scanning has run together."""
     out = x
-    for mark in (
-        r"(?:PHẦN|Phần|Phan|Chương|Chuong|Mục|Muc)\s+[A-Z0-9IVXLCĐđ]", r"(?:Điều|Dieu)\s+\d+[A-Za-z]*", r"(?:Khoản|Khoan)\s+\d+\s+\p{L}", r"\d+[\.:\-]\s+\p{L}", r"[a-zđ][\)\.:\-]\s+\p{L}",
-    ):
-        out = F.regexp_replace(out, rf"(?iu)\s+(?={mark})", "\n")
+    for start in SCANNED_STARTS:
+        out = F.regexp_replace(out, rf"(?iU)\s+(?={start})", "\n")
     return out

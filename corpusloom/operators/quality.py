@@ -72,10 +72,6 @@ def metadata_score(*fields: Column) -> Column:
     return sum((F.when(F.coalesce(f.cast("string"), F.lit("")) != "", 5.0).otherwise(0.0) for f in fields), F.lit(0.0))
 
 
-def _capped(test: Column, array: Column, weight: float, cap: float) -> Column:
-    return F.least(F.lit(cap), test * weight)
-
-
 def text_scores(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, clean_score, structure_score and chunk_score from text and its chunks (doc_id, section_title, content)."""
     seg = docs.select("doc_id", segments(F.col("text")).alias("s"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.numeric import clamp, cosine
+from corpusloom.functions.numeric import clamp, cosine, dot
 from corpusloom.functions.text import fold, marked, tokens, whole_word_count
 
 
@@ -24,6 +26,10 @@ def lexical_score(text: Column, words: Column, hints: Column) -> Column:
     return F.when(n > 0, total(words, 3) + total(pairs, 8) + three + hint_score(text, hints)).otherwise(0)
 
 
+#: distinct first words of a batch of questions that are broadcast; more are met by the shuffle alone
+FEW_WORDS = 200_000
+
+
 def phrase_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, document_id, score: 3 per word, 8 per word pair, 12 per occurrence of the first three words.
 
@@ -43,6 +49,10 @@ def phrase_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     text = chunks.select("document_id", F.regexp_extract_all("folded", F.lit(r"(?U)(\w+|\W)"), 1).alias("p"))
     row = F.transform("p", lambda x, i: F.struct(x.alias("w"), i.alias("pos"), *[F.get("p", i + k).alias(f"w{k}") for k in range(1, 5)]))
     words = text.select("document_id", F.explode(F.filter(row, lambda r: F.length(r["w"]) >= 3)).alias("r")).select("document_id", "r.*")
+    # words that begin no phrase go before pairs and triples are made of them
+    begins = needles.select(F.substring_index("phrase", " ", 1).alias("w")).distinct()
+    if begins.limit(FEW_WORDS + 1).count() <= FEW_WORDS:
+        words = words.join(F.broadcast(begins), "w", "left_semi")
     words = words.withColumn("second", F.when(F.col("w1") == " ", F.col("w2"))).withColumn("third", F.when(F.col("w3") == " ", F.col("w4")))
     x, pos, second, third = F.col("w"), F.col("pos"), F.col("second"), F.col("third")
     space = F.lit(" ")
@@ -198,3 +208,54 @@ def related(hits: DataFrame, chunks: DataFrame, relations: DataFrame, sources: i
     both = both.withColumn("once", once).where("once = 1")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "phase", "document_id", "chunk_index"))
     return both.withColumn("place", place).where(F.col("place") <= limit).drop("once")
+
+
+#: vectors and queries that one task multiplies
+VECTOR_BLOCK = 4096
+
+
+def _unit(vector: str) -> Column:
+    """The vector at length 1; null where it is missing or its length is 0."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(dot(v, v))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+
+
+def _best_of_blocks(k: int, places: int):
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(vectors) and len(queries):
+            ids = vectors["id"].to_numpy()
+            for size, asked in queries.groupby(queries["u"].map(lambda u: -1 if u is None else len(u))):
+                same = np.array([u is not None and len(u) == size for u in vectors["u"]])
+                scores = np.zeros((len(asked), len(vectors)))
+                if same.any():
+                    scores[:, same] = np.stack(asked["u"].to_numpy()) @ np.stack(vectors["u"][same].to_numpy()).T
+                scores = np.round(np.maximum(scores, 0.0), places)
+                for query, row in zip(asked["id"].tolist(), scores):
+                    row = np.where(ids == query, -1.0, row)
+                    keep = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                    keep = keep[np.lexsort((ids[keep], -row[keep]))][:k]
+                    found += [(query, i, s) for i, s in zip(ids[keep].tolist(), row[keep].tolist()) if s >= 0]
+        return pd.DataFrame(found, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+    return run
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int, places: int = 6, block: int = VECTOR_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar other vectors (id, vector) of each query (id, vector), by cosine of at least 0.
+
+    Vectors that are missing, of length 0 or of another number of components have the cosine 0.  Lengths are
+    taken once per vector; blocks meet blocks as matrix products, each gives k per query, and those are merged.
+    Scores count at ``places`` decimals; of equal ones the smaller id comes first.
+    """
+    blocks = lambda df: max(1, -(-df.count() // block))
+    flat = lambda df: df.select("id", _unit("vector").alias("u"))
+    n, m = blocks(vectors), blocks(queries)
+    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = flat(vectors).withColumn("b", deal(n)).withColumn("q", every(m))
+    right = flat(queries).withColumn("q", deal(m)).withColumn("b", every(n))
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(_best_of_blocks(k, places), "query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from corpusloom.functions.text import LINE_BREAK, collapse, digits_padded, fold, slug
+from corpusloom.functions.text import LINE_BREAK, collapse, digits_padded, slug
+from corpusloom.functions.text import segments as text_segments
 
 # Line patterns of statutes (with the damage that scanning does to first letters).
 PART = r"(?iu)^(PHẦN|Phan|han)\s+(.+)$"
@@ -217,44 +220,66 @@ def _upper(x: Column) -> Column:
     return (x == F.upper(x)) & (x != F.lower(x))
 
 
+_RUNS = ArrayType(StructType([StructField("start", IntegerType()), StructField("n", IntegerType())]))
+
+
+@F.pandas_udf(_RUNS)
+def _packed(words: pd.Series, borders: pd.Series, most: pd.Series, target: pd.Series) -> pd.Series:
+    """Runs of pieces that make chunks, in one pass over their numbers of words; each begins with the last piece before."""
+    out = []
+    for counts, marks, limit, enough in zip(words, borders, most, target):
+        runs, start, total, last = [], 0, 0, 0
+        for i, (n, border) in enumerate(zip(counts.tolist(), marks.tolist())):
+            if i and (total + n > limit or total >= enough and border):
+                runs.append((start, i - start))
+                start, total = i - 1, last
+            total, last = total + n, n
+        runs.append((start, len(counts) - start))
+        out.append([{"start": a, "n": n} for a, n in runs])
+    return pd.Series(out)
+
+
+def _pieces(segments: Column, max_words: int) -> Column:
+    """Lines of at most ``max_words`` words: longer ones are cut at sentence ends, then by words."""
+    count = lambda x: F.size(F.split(x, " "))
+    sentences = lambda x: F.filter(F.transform(F.split(x, r"(?<=[\.!?;:])\s+"), collapse), lambda s: s != "")
+    steps = lambda n: F.sequence(F.lit(0), F.floor((n - 1) / max_words).cast("int"))
+    blocks = lambda x: F.transform(F.array(F.split(x, " ")), lambda t: F.transform(steps(F.size(t)), lambda i: F.array_join(F.slice(t, i * max_words + 1, F.lit(max_words)), " ")))[0]
+    cut = lambda x: F.when(count(x) <= max_words, F.array(x)).otherwise(blocks(x))
+    long = lambda x: F.flatten(F.transform(sentences(x), cut))
+    return F.flatten(F.transform(segments, lambda x: F.when(count(x) <= max_words, F.array(x)).otherwise(long(x))))
+
+
 def fallback_chunks(docs: DataFrame, max_words: int = 320, target_words: int = 220) -> DataFrame:
     """(doc_id, chunk_index, section_title, content) of texts without structure.
 
     Long lines are cut at sentence ends, long sentences by words; pieces are packed up to
     ``max_words``, or to ``target_words`` where a line looks like a border, and each chunk
-    repeats the last piece of the one before.
+    repeats the last piece of the one before.  A document is one row throughout, nothing is shuffled; only the
+    pieces' numbers of words and borders go to Python, which answers with the places to cut.
     """
     grammar = Grammar(clause_digits=3)
-    rows = lines(docs, repair=False)
-    count = lambda x: F.size(F.split(x, " "))
-    parts = F.when(count(F.col("seg")) <= max_words, F.array("seg")).otherwise(F.filter(F.transform(F.split("seg", r"(?<=[\.!?;:])\s+"), collapse), lambda s: s != ""))
-    rows = rows.select("doc_id", "pos", F.posexplode(parts).alias("sub", "seg"))
-    tokens = F.split("seg", " ")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / max_words)), lambda i: F.array_join(F.slice(tokens, i * max_words + 1, max_words), " "))
-    rows = rows.select("doc_id", "pos", "sub", F.posexplode(blocks).alias("cut", "seg"))
-    kind = grammar.classify(F.col("seg"))
-    border = kind.isin("part", "chapter", "section", "article") | grammar.clause(F.col("seg")) | F.col("seg").rlike(POINT) | (F.length("seg") <= TITLE_CHARS) & _upper(F.col("seg")) | F.endswith(F.col("seg"), F.lit(":"))
-    rows = rows.withColumn("n", count(F.col("seg"))).withColumn("border", border)
-    pieces = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "cut", "seg", "n", "border"))).alias("pieces"))
-    start = F.expr("named_struct('done', cast(array() as array<string>), 'cur', cast(array() as array<string>), 'words', 0, 'last', 0)")
-
-    def step(acc: Column, x: Column) -> Column:
-        flush = (F.size(acc["cur"]) > 0) & ((acc["words"] + x["n"] > max_words) | (acc["words"] >= target_words) & x["border"])
-        done = F.when(flush, F.concat(acc["done"], F.array(F.array_join(acc["cur"], "\n")))).otherwise(acc["done"])
-        kept = F.when(flush, F.slice(acc["cur"], -1, 1)).otherwise(acc["cur"])
-        words = F.when(flush, acc["last"]).otherwise(acc["words"])
-        return F.struct(done.alias("done"), F.concat(kept, F.array(x["seg"])).alias("cur"), (words + x["n"]).alias("words"), x["n"].alias("last"))
-
-    chunks = F.aggregate("pieces", start, step, lambda acc: F.concat(acc["done"], F.array(F.array_join(acc["cur"], "\n"))))
-    out = pieces.select("doc_id", F.posexplode(chunks).alias("at", "content"))
+    rows = docs.select("doc_id", _pieces(text_segments(F.col("text")), max_words).alias("pieces")).where(F.size("pieces") > 0)
+    # cheap tests first: most lines are no border
+    border = lambda x: F.endswith(x, F.lit(":")) | (F.length(x) <= TITLE_CHARS) & _upper(x) | x.rlike(POINT) | x.rlike(PART) | x.rlike(CHAPTER) | x.rlike(SECTION) | x.rlike(ARTICLE) | grammar.clause(x)
+    rows = rows.withColumns({"words": F.transform("pieces", lambda x: F.size(F.split(x, " "))), "borders": F.transform("pieces", border)})
+    rows = rows.withColumn("runs", _packed("words", "borders", F.lit(max_words), F.lit(target_words)))
+    chunks = F.transform("runs", lambda r: F.array_join(F.slice(F.col("pieces"), r["start"] + 1, r["n"]), "\n"))
+    out = rows.select("doc_id", F.posexplode(chunks).alias("at", "content"))
     first = F.trim(F.substring_index("content", ".", 1))
     return out.select("doc_id", (F.col("at") + 1).alias("chunk_index"), F.when(F.length(first) >= 12, F.substring(first, 1, 120)).alias("section_title"), "content")
 
 
+def is_structured(text: Column) -> Column:
+    """Some line of the text is a heading, an article or a numbered outline; the first of these opens a unit."""
+    return F.exists(text_segments(text), lambda x: Grammar(clause_digits=3).classify(x) != "body")
+
+
 def build_chunks(docs: DataFrame) -> DataFrame:
     """Structured chunks where a document has structure, fallback chunks elsewhere."""
-    legal = legal_chunks(docs)
-    rest = docs.join(legal.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = docs.withColumn("structured", F.coalesce(is_structured(F.col("text")), F.lit(False)))
+    legal = legal_chunks(rows.where("structured").drop("structured"))
+    rest = rows.where("not structured").drop("structured")
     return legal.withColumn("strategy", F.lit("legal")).unionByName(fallback_chunks(rest).withColumn("strategy", F.lit("fallback")))
 
 
@@ -287,10 +312,3 @@ def structure_diagnostics(docs: DataFrame, provisions: DataFrame) -> DataFrame:
     label = F.when(F.col("score") >= 85, "high").when(F.col("score") >= 60, "medium").when(F.col("score") > 0, "low").otherwise("missing")
     status = F.when(n == 0, "failed").when(a > 0, "parsed").otherwise("partial")
     return out.withColumn("label", label).withColumn("status", status)
-
-
-def folded_starts(x: Column, prefixes: tuple[str, ...]) -> Column:
-    folded, out = fold(x), F.lit(False)
-    for p in prefixes:
-        out = out | F.startswith(folded, F.lit(p))
-    return out

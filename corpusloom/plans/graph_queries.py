@@ -8,26 +8,71 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold, tokens
-from corpusloom.operators import graph, qa, relations, retrieval, structure
+from corpusloom.operators import graph, retrieval, structure
 
 from .standins import EDGES_SQL, edges, table
 from .text_queries import FOLD, TOKENS
 
-ROOTS = (3, 10, 24)
+#: every document whose id is divisible by this is a root
+ROOT_STEP = 20
 
 
 def bfs(depth, spark, sf):
-    roots = table(spark, sf, "documents").where(F.col("doc_id").isin(*ROOTS)).select(F.col("doc_id").alias("root_id"))
+    roots = table(spark, sf, "documents").where(F.col("doc_id") % ROOT_STEP == 0).select(F.col("doc_id").alias("root_id"))
     nodes, _ = graph.neighbourhood(roots, edges(spark, sf), depth)
     return nodes
 
 
 def bfs_sql(depth: int) -> str:
     return f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-    walk(root_id, node_id, depth) AS (SELECT doc_id, doc_id, 0 FROM documents WHERE doc_id IN {ROOTS} UNION SELECT root_id, b, depth + 1 FROM walk JOIN both_ways ON node_id = a WHERE depth < {depth})
+    walk(root_id, node_id, depth) AS (SELECT doc_id, doc_id, 0 FROM documents WHERE doc_id % {ROOT_STEP} = 0 UNION SELECT root_id, b, depth + 1 FROM walk JOIN both_ways ON node_id = a WHERE depth < {depth})
     SELECT root_id, node_id, min(depth)::INTEGER AS depth FROM walk GROUP BY 1, 2"""
 
 
+def bfs_edges(spark, sf):
+    """Edges that a search of two steps from each root expands."""
+    roots = table(spark, sf, "documents").where(F.col("doc_id") % ROOT_STEP == 0).select(F.col("doc_id").alias("root_id"))
+    return graph.neighbourhood(roots, edges(spark, sf), 2)[1]
+
+
+def _concepts(spark, sf):
+    """Nations as concepts of customers' questions, suppliers' trade as edges, customers as anchors."""
+    c = table(spark, sf, "customer")
+    roots = c.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.explode(F.array(F.col("c_nationkey").cast("long"), (F.col("c_custkey") * 7 % 25))).alias("concept_id"))
+    s = table(spark, sf, "supplier")
+    key = F.col("s_suppkey")
+    e = s.select(F.col("s_nationkey").cast("long").alias("src"), ((F.col("s_nationkey") * 3 + key % 2) % 25).alias("dst"), F.when(key % 3 == 0, "REQUIRES").otherwise("ENABLES").alias("edge_type"), (key % 7 < 2).alias("is_active"), key.alias("edge_id"))
+    links = c.select(F.col("c_nationkey").cast("long").alias("concept_id"), F.col("c_custkey").alias("document_id"), (F.col("c_custkey") % 50 == 1).alias("is_active"))
+    return roots, e, links
+
+
+def concept_graph_nodes(spark, sf):
+    return graph.concept_graph(*_concepts(spark, sf), 2)[0].withColumnRenamed("node_id", "concept_id")
+
+
+def concept_graph_edges(spark, sf):
+    """Edges that the search expanded, and those between any two of its nodes."""
+    near, inside = (graph.concept_graph(*_concepts(spark, sf), 1, inside=test)[1].select("query_id", "src", "dst", "edge_type", "edge_id") for test in (False, True))
+    return near.withColumn("rule", F.lit("near")).unionByName(inside.withColumn("rule", F.lit("inside")))
+
+
+def concept_graph_anchors(spark, sf):
+    return graph.concept_graph(*_concepts(spark, sf), 1)[2].select("query_id", "concept_id", "document_id")
+
+
+def _concepts_sql(depth: int) -> str:
+    return f"""WITH RECURSIVE roots AS (SELECT DISTINCT c_custkey AS query_id, unnest([c_nationkey::BIGINT, c_custkey * 7 % 25]) AS concept_id FROM customer WHERE c_custkey % 20 = 0),
+    e AS (SELECT s_nationkey::BIGINT AS src, (s_nationkey * 3 + s_suppkey % 2) % 25 AS dst, CASE WHEN s_suppkey % 3 = 0 THEN 'REQUIRES' ELSE 'ENABLES' END AS edge_type, s_suppkey AS edge_id FROM supplier WHERE s_suppkey % 7 < 2),
+    ways AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+    walk(query_id, concept_id, depth) AS (SELECT query_id, concept_id, 0 FROM roots UNION SELECT query_id, b, depth + 1 FROM walk JOIN ways ON concept_id = a WHERE depth < {depth}),
+    nodes AS (SELECT query_id, concept_id, min(depth)::INTEGER AS depth FROM walk GROUP BY ALL),
+    near AS (SELECT DISTINCT query_id, e.* FROM nodes JOIN e ON concept_id IN (src, dst) AND depth < {depth}),
+    inside AS (SELECT a.query_id, e.* FROM e JOIN nodes a ON a.concept_id = src JOIN nodes b ON b.concept_id = dst AND a.query_id = b.query_id)"""
+
+
+_ONE_EACH = "SELECT query_id, src, dst, edge_type, min(edge_id) AS edge_id, '{0}' AS rule FROM {0} GROUP BY query_id, src, dst, edge_type"
+
+
 def endpoint_both_in_set(spark, sf):
     nodes = table(spark, sf, "documents").where("doc_id % 4 < 2").select(F.col("doc_id").alias("node_id"))
     return graph.within(edges(spark, sf), nodes).select("src", "dst")
@@ -121,57 +166,12 @@ def chunk_counts(spark, sf):
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.max("chunk_type").alias("type"), F.first("strategy").alias("strategy"))
 
 
-STATUTE = "Chương I\nNHỮNG QUY ĐỊNH CHUNG\nĐiều 5. Phạm vi\nLời dẫn\n1. Khoản một\na) Điểm a theo khoản 2 Điều 5\nb) Điểm b\n2. Khoản hai"
-PROVISIONS = (
-    (1, None, "article", "5", None, None, "Điều 5", "005.000.000", "Phạm vi\nLời dẫn"),
-    (2, 1, "clause", "5", "1", None, "Điều 5 Khoản 1", "005.001.000", "Khoản một"),
-    (3, 2, "point", "5", "1", "a", "Điều 5 Khoản 1 Điểm a", "005.001.001", "Điểm a theo khoản 2 Điều 5"),
-    (4, 2, "point", "5", "1", "b", "Điều 5 Khoản 1 Điểm b", "005.001.002", "Điểm b"),
-    (5, 1, "clause", "5", "2", None, "Điều 5 Khoản 2", "005.002.000", "Khoản hai"),
-)
-
-
-def _statute(spark):
-    return spark.createDataFrame([(1, STATUTE)], "doc_id long, text string")
-
-
-def parse_provisions(spark, sf):
-    p = structure.parse_provisions(_statute(spark))
-    return p.select("seq", "parent_seq", "provision_level", "article_number", "clause_number", "point_code", "citation_label", "sort_key", "content")
-
-
-def provision_refs(spark, sf):
-    return relations.provision_relations(structure.parse_provisions(_statute(spark))).select("source_seq", "target_seq", "relation_type")
-
-
-CITING = (
-    (1, "Nghị định này sửa đổi, bổ sung Bộ luật số 45/2019/QH14.", "nghi-dinh", None),
-    (2, "Căn cứ Luật số 45/2019/QH14; theo quy định của 10/2020/ND-CP.", "thong-tu", None),
-    (3, "Hợp nhất 45/2019/QH14", "van-ban-hop-nhat", None),
-    (4, "Quyết định này thay thế 10/2020/ND-CP.", "quyet-dinh", "45/2019/QH14"),
-    (5, "Không trích dẫn.", "khac", "10/2020/ND-CP"),
-)
-
-
-def relation_classify(spark, sf):
-    d = spark.createDataFrame(CITING, "doc_id long, text string, document_type string, document_code string")
-    a = d.where("document_code is not null").select("doc_id", F.col("document_code").alias("alias"))
-    return relations.document_relations(d, a).select("doc_id", "target_id", "relation_type", "confidence")
-
-
-def claim_support(spark, sf):
-    told = ((1, "Theo điều 5 người lao động được nghỉ. Xin chào."), (2, "Luật quy định nghĩa vụ nộp thuế thu nhập."), (3, "Không có gì."))
-    proof = ((1, "Điều 5 nghỉ việc lao động"), (2, "thuế"), (2, "đất đai"))
-    return qa.claim_support(spark.createDataFrame(told, "answer_id long, text string"), spark.createDataFrame(proof, "answer_id long, evidence string"))
-
-
-def _values(rows, names: str) -> str:
-    cell = lambda x: "NULL" if x is None else ("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if isinstance(x, str) else str(x))
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
-
-
 GRAPH_QUERIES = {
     **{f"bfs_depth_{n}": (partial(bfs, n), bfs_sql(n)) for n in (1, 2, 3)},
+    "bfs_edges_depth_2": (bfs_edges, bfs_sql(2).replace("SELECT root_id, node_id, min(depth)", ", seen AS (SELECT root_id, node_id, min(depth)") + ") SELECT DISTINCT root_id, src, dst FROM seen JOIN edges ON node_id IN (src, dst) WHERE depth < 2"),
+    "concept_graph_nodes": (concept_graph_nodes, _concepts_sql(2) + " SELECT * FROM nodes"),
+    "concept_graph_edges": (concept_graph_edges, _concepts_sql(1) + " " + _ONE_EACH.format("near") + " UNION ALL " + _ONE_EACH.format("inside")),
+    "concept_graph_anchors": (concept_graph_anchors, _concepts_sql(1) + " SELECT query_id, concept_id, c_custkey AS document_id FROM nodes JOIN customer ON c_nationkey = concept_id WHERE c_custkey % 50 = 1"),
     "endpoint_both_in_set": (endpoint_both_in_set, f"WITH {EDGES_SQL} SELECT src, dst FROM edges WHERE src IN (SELECT doc_id FROM documents WHERE doc_id % 4 < 2) AND dst IN (SELECT doc_id FROM documents WHERE doc_id % 4 < 2)"),
     "edge_evidence": (
         edge_evidence,
@@ -198,54 +198,9 @@ GRAPH_QUERIES = {
         SELECT s_suppkey, p_partkey, article, clause FROM w JOIN p ON c IS NOT DISTINCT FROM clause QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY article, p_partkey) = 1""",
     ),
     "chunk_counts": (chunk_counts, None),
-    "parse_provisions": (parse_provisions, _values(PROVISIONS, "seq, parent_seq, provision_level, article_number, clause_number, point_code, citation_label, sort_key, content")),
-    "provision_refs": (provision_refs, _values(((3, 5, "CITES_PROVISION"),), "source_seq, target_seq, relation_type")),
-    "relation_classify": (
-        relation_classify,
-        _values(((1, 4, "amends", 0.95), (2, 4, "legal_basis", 0.90), (2, 5, "legal_basis", 0.90), (3, 4, "consolidates", 0.98), (4, 5, "replaces", 0.96)), "doc_id, target_id, relation_type, confidence"),
-    ),
-    "claim_support": (claim_support, _values(((1, 1, 1.0), (2, 1, 0.0), (3, 0, 1.0)), "answer_id, n_claims, support")),
 }
 
 
-DECREE = "CHÍNH PHỦ\nSố: 10/2020/ND-CP\nHà Nội, ngày 5 tháng 3 năm 2020\nNGHỊ ĐỊNH\nQuy định chi tiết về đất đai\nCăn cứ Luật số 45/2019/QH14\nNghị định này có hiệu lực thi hành từ ngày 1/5/2020"
-CODE_LAW = "QUỐC HỘI\nSố: 45/2019/QH14\nBỘ LUẬT\nLao động\nngày 20 tháng 11 năm 2019\nHết hiệu lực từ ngày 31/12/2025"
-
-
-def metadata_infer(spark, sf):
-    from corpusloom.operators import metadata
-
-    d = spark.createDataFrame([(1, DECREE, "a.docx"), (2, CODE_LAW, None), (3, "", "291_2025_ND-CP.docx")], "doc_id long, text string, file_name string")
-    out = metadata.infer(d, F.lit("2026-01-15").cast("date"))
-    day = lambda c: F.col(c).cast("string").alias(c)
-    return out.select("doc_id", "document_code", "document_type", "issuing_authority", "authority_level", day("signed_date"), day("effective_date"), day("expiry_date"), "legal_status")
-
-
-INFERRED = (
-    (1, "10/2020/ND-CP", "nghi-dinh", "Chính phủ", "chinh-phu", "2020-03-05", "2020-05-01", None, "active"),
-    (2, "45/2019/QH14", "bo-luat", "Quốc hội", "quoc-hoi", "2019-11-20", "2025-12-31", "2025-12-31", "expired"),
-    (3, "291/2025/ND-CP", "nghi-dinh", "Chính phủ", "chinh-phu", None, None, None, "active"),
-)
-ENTITIES = (
-    (1, "e1", "ARTICLE", "Điều 1", 0, "1", None, None), (1, "e2", "CLAUSE", "1.", 10, "1", "1", None), (1, "e3", "POINT", "a)", 20, "1", "1", "a"), (1, "e4", "ARTICLE", "Điều 2", 30, "2", None, None), (1, "e5", "POINT", "b)", 40, "2", None, "b"),
-)
-
-
-def annotation_bundle(spark, sf):
-    from corpusloom.operators import annotation
-
-    e = spark.createDataFrame(ENTITIES, "doc_id long, entity_id string, label string, text string, start int, a string, c string, p string")
-    attributes = F.map_filter(F.create_map(F.lit("article_number"), F.col("a"), F.lit("clause_number"), F.col("c"), F.lit("point_code"), F.col("p")), lambda k, v: v.isNotNull())
-    e = e.withColumn("attributes", attributes).withColumn("normalized_value", F.lit(None).cast("string"))
-    return annotation.import_provisions(e).select("entity_id", "seq", "parent_seq", "level", "citation_label", "sort_key")
-
-
-BUNDLE = (
-    ("e1", 1, None, "article", "Điều 1", "1|0000|00|000001"), ("e2", 2, 1, "clause", "Khoản 1 Điều 1", "1|1|00|000002"), ("e3", 3, 2, "point", "Điểm a Khoản 1 Điều 1", "1|1|a|000003"),
-    ("e4", 4, None, "article", "Điều 2", "2|0000|00|000004"), ("e5", 5, 4, "point", "Điểm b Điều 2", "2|0000|b|000005"),
-)
-
-
 def chunk_offsets(spark, sf):
     """Offsets of messages in the joined text of their conversation."""
     from corpusloom.operators import annotation
@@ -325,8 +280,6 @@ def text_scores(spark, sf):
 
 
 GRAPH_QUERIES |= {
-    "metadata_infer": (metadata_infer, _values(INFERRED, "doc_id, document_code, document_type, issuing_authority, authority_level, signed_date, effective_date, expiry_date, legal_status")),
-    "annotation_bundle": (annotation_bundle, _values(BUNDLE, "entity_id, seq, parent_seq, level, citation_label, sort_key")),
     "chunk_offsets": (
         chunk_offsets,
         """WITH c AS (SELECT conv_id AS doc_id, turn AS chunk_index, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations)

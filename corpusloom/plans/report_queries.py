@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.numeric import clamp
 from corpusloom.operators import identity, qa, quality, reports, retrieval, rules
+from corpusloom.operators.ordering import natural_key, page, positions
 
 from .standins import DAY, DOCUMENTS_SQL, USAGE_SQL, documents, table, usage
 
@@ -190,20 +191,41 @@ def ticket_bundle(spark, sf):
 def pinned_order(spark, sf):
     n = table(spark, sf, "nation")
     pin = F.coalesce(F.try_element_at(F.create_map(F.lit("FRANCE"), F.lit(1), F.lit("GERMANY"), F.lit(2), F.lit("NATION_3"), F.lit(3)), F.col("n_name")), F.lit(1000))
-    return n.select("n_nationkey", "n_name", F.row_number().over(Window.orderBy(pin, F.lower("n_name"), "n_nationkey")).alias("place"))
+    return positions(n, pin, F.lower("n_name"), F.col("n_nationkey")).select("n_nationkey", "n_name", "place")
 
 
 def page_slice(spark, sf):
-    # the page's rows and those before it: a bounded table
-    first = table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(60)
-    p = first.select("p_partkey", "p_name", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("place"))
-    return p.where(F.col("place").between(41, 60))
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
+    return page(p, 3, 20, F.desc("p_retailprice"), F.col("p_partkey")).select("p_partkey", "p_name", "place")
+
+
+def catalog_order(spark, sf):
+    """Places of all documents by title, by the label of their status and by signed date, downwards, as a reader of the language sorts them."""
+    d = documents(spark, sf).select("id", "title", "file_name", "legal_status", "signed_date")
+    label = F.try_element_at(F.create_map(*(F.lit(x) for pair in STATUS_LABELS for x in pair)), F.col("legal_status"))
+    own = F.col("id")
+    by_title = positions(d, natural_key(F.concat_ws(" ", "title", "file_name")), own, name="by_title")
+    by_status = positions(by_title, natural_key(F.coalesce(label, F.lit(UNKNOWN_LABEL))), own, name="by_status")
+    by_date = positions(by_status, F.desc(F.coalesce(F.col("signed_date").cast("string"), F.lit(""))), own, name="by_date")
+    return by_date.select("id", "by_title", "by_status", "by_date")
+
+
+# What a reader sees for a status.
+STATUS_LABELS = (("active", "Còn hiệu lực"), ("expired", "Hết hiệu lực"), ("repealed", "Bị bãi bỏ"), ("draft", "Dự thảo"))
+UNKNOWN_LABEL = "Chưa rõ"
+_FILLED_DIGITS = "array_to_string(list_transform(regexp_extract_all({0}, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') AND length(p) < 24 THEN lpad(p, 24, '0') ELSE p END), '')"
+# a sort key's first level, up to the first separator, holds the base letters
+_BASE = "regexp_extract(icu_sort_key(" + _FILLED_DIGITS + ", 'vi'), '^((?:[0-9A-Fa-f]{{2}})*?)01', 1)"
+_LABEL = " ".join(f"WHEN '{status}' THEN '{label}'" for status, label in STATUS_LABELS)
+CATALOG_SQL = f"""WITH {DOCUMENTS_SQL}
+SELECT id, row_number() OVER (ORDER BY {_BASE.format("(title || ' ' || file_name)")}, id) AS by_title, row_number() OVER (ORDER BY {_BASE.format(f"(CASE legal_status {_LABEL} ELSE '{UNKNOWN_LABEL}' END)")}, id) AS by_status,
+    row_number() OVER (ORDER BY coalesce(signed_date::VARCHAR, '') DESC, id) AS by_date FROM kd"""
 
 
 def last_messages(spark, sf):
     c = table(spark, sf, "conversations")
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return c.withColumn("n", n).where("n <= 2").select("conv_id", "turn", "role", "n")
+    return c.withColumn("n", n).where("n <= 6").select("conv_id", "turn", "role", "n")
 
 
 def outer_join_residual(spark, sf):
@@ -370,10 +392,11 @@ REPORT_QUERIES = {
     "ticket_bundle": (ticket_bundle, "SELECT o_orderkey, o_orderstatus, parts FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"),
     "pinned_order": (
         pinned_order,
-        "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY CASE n_name WHEN 'FRANCE' THEN 1 WHEN 'GERMANY' THEN 2 WHEN 'NATION_3' THEN 3 ELSE 1000 END, lower(n_name), n_nationkey)::INTEGER AS place FROM nation",
+        "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY CASE n_name WHEN 'FRANCE' THEN 1 WHEN 'GERMANY' THEN 2 WHEN 'NATION_3' THEN 3 ELSE 1000 END, lower(n_name), n_nationkey) AS place FROM nation",
     ),
-    "page_slice": (page_slice, "SELECT p_partkey, p_name, place FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS place FROM part) WHERE place BETWEEN 41 AND 60"),
-    "last_messages": (last_messages, "SELECT conv_id, turn, role, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS n FROM conversations) WHERE n <= 2"),
+    "catalog_order": (catalog_order, CATALOG_SQL),
+    "page_slice": (page_slice, "SELECT p_partkey, p_name, place FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place BETWEEN 41 AND 60"),
+    "last_messages": (last_messages, "SELECT conv_id, turn, role, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS n FROM conversations) WHERE n <= 6"),
     "outer_join_residual": (outer_join_residual, "SELECT doc_id, vec_id, label FROM documents LEFT JOIN embeddings ON doc_id = vec_id AND label = 1"),
     "definition_counts": (definition_counts, "SELECT n_name, count(c_custkey) AS n, count(c_custkey) > 0 AS in_use FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name"),
     "understanding": (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.numeric import cosine
+from corpusloom.operators.retrieval import top_similar
 
 from .standins import DAY, DOCUMENTS_SQL, documents, table  # noqa: F401
 
@@ -65,16 +65,8 @@ def identity(spark, sf):
 
 def vector_topk(spark, sf):
     """Ten most similar vectors, by cosine, of each whose id is divisible by 20; queries go against all vectors in blocks."""
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    from pyspark.sql import Window
-
-    blocks = q.count() // 512 + 1
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    s = v.join(q, "block").where("vec_id <> query_id").withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return s.withColumn("rank", place).where("rank <= 10").select("query_id", "vec_id", "rank", "score")
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return top_similar(v, v.where("id % 20 = 0"), 10).select("query_id", F.col("id").alias("vec_id"), "rank", "score")
 
 
 def json_parse(spark, sf):

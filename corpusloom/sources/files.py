@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import segments
+from corpusloom.operators.ordering import positions
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +86,7 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
 
 
 def write_in_parts(tasks: DataFrame, order: str, size: int, path: str) -> None:
-    """Tasks in files of ``size`` rows, by their order."""
-    n = F.row_number().over(Window.orderBy(order))
-    tasks.withColumn("part", F.floor((n - 1) / size)).write.mode("overwrite").partitionBy("part").json(path)
+    """Tasks in folders of ``size`` rows, by their order (``order`` and then all other columns), one file each."""
+    placed = positions(tasks, *(F.col(c) for c in (order, *(c for c in tasks.columns if c != order))))
+    parts = placed.withColumn("part", F.floor((F.col("place") - 1) / size)).drop("place")
+    parts.repartition("part").write.mode("overwrite").partitionBy("part").json(path)
