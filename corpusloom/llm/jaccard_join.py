@@ -405,6 +405,7 @@ class JaccardJoin:
         kept = ["cell", "salt", "ways", "node", "n", "reach", "met", "star", "d"]
         members = placed.withColumns({"star": F.lit(None).cast("long"), "d": F.lit(None).cast("double")}).select(kept)
         edges, waiting = [], []
+        known_roots = None
         for i in range(rounds):
             # the set with most in common with its region is the most central
             order = F.struct(((self.window_of(F.col("n")) - F.col("met")) / F.col("n") - 1).alias("o"), F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("met").alias("pmet"), F.col("reach").alias("preach"))
@@ -424,6 +425,7 @@ class JaccardJoin:
             if most_free > self.cap and i % 3 == 0:
                 # sets that other regions have connected count as stars, too
                 roots = self.components(reduce(DataFrame.unionByName, edges), f"roots{i}")
+                known_roots = len(edges), roots
                 joined = members.drop("free").join(roots, "node", "left").withColumn("star", F.coalesce("root", "star")).drop("root")
                 members, most_free = self.open_regions(joined, f"connected{i}")
             # regions with few sets outside stars are compared set against set, others divide again
@@ -434,9 +436,10 @@ class JaccardJoin:
                 break
         else:
             waiting.append(members)
-        edges = reduce(DataFrame.unionByName, edges)
         # what is connected by now needs no comparison either
-        roots = self.components(edges, "early")
+        same = known_roots is not None and known_roots[0] == len(edges)
+        edges = reduce(DataFrame.unionByName, edges)
+        roots = known_roots[1] if same else self.components(edges, "early")
         rest = reduce(DataFrame.unionByName, [w.withColumn("part", F.lit(i)) for i, w in enumerate(waiting)])
         rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = self.per_cell(rest, F.min("root").alias("lo"), F.max("root").alias("hi"), keys=("cell", "part")).where("lo < hi").drop("lo", "hi")
@@ -455,22 +458,28 @@ class JaccardJoin:
         return members, members.agg(F.max("free")).first()[0] or 0
 
     def components(self, edges: DataFrame, name: str) -> DataFrame:
-        """(node, root) by alternating large and small stars, where root is the least node."""
+        """(node, root) by alternating large and small stars, where root is the least node.
+
+        It ends when every node has one edge, to a node that has none: then all groups are stars.
+        """
         flat = self.scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}0")
-        i, last = 0, None
+        i = 0
         while True:
             i += 1
             both = flat.union(flat.select("v", "u"))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            # repeated edges go with the small stars
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             large = self.scratch.save(large, f"{name}{i}l")
             root = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
             flat = self.scratch.save(small, f"{name}{i}")
-            state = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if state == last:
+            self.scratch.drop(f"{name}{i}l", f"{name}{i - 1}")
+            # a node with two edges, or one that is both ends, is not settled
+            ends = flat.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(flat.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+            loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0")
+            if loose.isEmpty():
                 return flat.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            last = state
 
     def run(self, rounds: int, max_demoted: int) -> DataFrame:
         """(id, n, component); raises ValueError if an id carries several texts."""
