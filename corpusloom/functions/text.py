@@ -59,7 +59,7 @@ def word_count(x: Column) -> Column:
 def tokens(x: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Words of the folded text of three letters or more that are no stop words."""
     found = F.regexp_extract_all(fold(x), F.lit(r"(?U)(\w+)"), F.lit(1))
-    stop = F.array(*map(F.lit, stop_words))
+    stop = F.array(*map(F.lit, stop_words)).cast("array<string>")
     return F.filter(found, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
 
 

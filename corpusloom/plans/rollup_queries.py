@@ -120,3 +120,38 @@ ROLLUP_QUERIES = {
         SELECT doc_id, CASE WHEN ok THEN 'imported' ELSE 'failed' END AS status, CASE WHEN ok THEN n ELSE 0 END::INTEGER AS n FROM l""",
     ),
 }
+
+
+def packaged_tables(spark, sf):
+    """Counts and headers of a package of the graph's tables, read back from the files of both dialects."""
+    from corpusloom.functions.shared import Tables
+    from corpusloom.sources import packages
+
+    d = documents(spark, sf).select(F.col("id").alias("document_id"), "title", "document_code", "legal_status")
+    p = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("document_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("provision_id"), F.when(F.col("l_linenumber") > 1, F.col("l_orderkey") * 10 + 1).alias("parent_id"))
+    r = table(spark, sf, "orders").select(F.col("o_custkey").alias("source_document_id"), F.col("o_orderkey").alias("target_document_id"), F.col("o_orderpriority").alias("relation_type"), (F.col("o_orderkey") % 100 / 100).alias("confidence_score"))
+    q = p.where("parent_id is not null and provision_id % 3 = 0").select(F.col("provision_id").alias("source_provision_id"), F.col("parent_id").alias("target_provision_id"), F.lit("CITES_PROVISION").alias("relation_type"))
+    six, out = packages.graph_tables(p, d, r, q), []
+    for dialect in ("typed", "plain"):
+        path = f"{Tables(spark, 'package').root}/{dialect}"
+        packages.write_package({name: (df, packages.Format("csv", marked=True)) for name, df in packages.in_dialect(six, dialect == "typed").items()}, path)
+        for name, df in packages.read_package(spark, path)[1].items():
+            ids = F.sum(F.col(f"`{df.columns[0]}`").cast("long"))
+            out.append(df.agg(F.lit(dialect).alias("dialect"), F.lit(name).alias("name"), F.lit("|".join(df.columns)).alias("header"), F.count("*").alias("n"), ids.alias("ids"), F.max(F.col(f"`{df.columns[-1]}`")).alias("last")))
+    result = out[0]
+    for part in out[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+PACKAGED_SQL = f"""WITH {DOCUMENTS_SQL}, p AS (SELECT l_suppkey AS d, l_orderkey * 10 + l_linenumber AS p, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + 1 END AS up FROM lineitem),
+x AS (SELECT 'documents' AS name, count(*) AS n, sum(id)::BIGINT AS ids FROM kd UNION ALL SELECT 'provisions', count(*), sum(d) FROM p UNION ALL SELECT 'has_provision', count(*), sum(d) FROM p WHERE up IS NULL
+    UNION ALL SELECT 'has_child', count(*), sum(up) FROM p WHERE up IS NOT NULL UNION ALL SELECT 'document_relations', count(*), sum(o_custkey) FROM orders UNION ALL SELECT 'provision_relations', count(*), sum(p) FROM p WHERE up IS NOT NULL AND p % 3 = 0),
+h(dialect, name, header, last) AS (VALUES ('typed', 'documents', 'document_id:ID(Document)|title|document_code|legal_status|:LABEL', 'Document'), ('plain', 'documents', 'document_id|title|document_code|legal_status|node_label', 'Document'),
+    ('typed', 'provisions', 'document_id|provision_id:ID(Provision)|parent_id|:LABEL', 'Provision'), ('plain', 'provisions', 'document_id|provision_id|parent_id|node_label', 'Provision'),
+    ('typed', 'has_provision', ':START_ID(Document)|:END_ID(Provision)|:TYPE', 'HAS_PROVISION'), ('plain', 'has_provision', 'start_document_id|end_provision_id|type', 'HAS_PROVISION'),
+    ('typed', 'has_child', ':START_ID(Provision)|:END_ID(Provision)|:TYPE', 'HAS_CHILD'), ('plain', 'has_child', 'start_provision_id|end_provision_id|type', 'HAS_CHILD'),
+    ('typed', 'document_relations', ':START_ID(Document)|:END_ID(Document)|relation_type|confidence_score:float|:TYPE', 'RELATES_TO'), ('plain', 'document_relations', 'start_document_id|end_document_id|relation_type|confidence_score|type', 'RELATES_TO'),
+    ('typed', 'provision_relations', ':START_ID(Provision)|:END_ID(Provision)|relation_type|:TYPE', 'PROVISION_RELATES_TO'), ('plain', 'provision_relations', 'start_provision_id|end_provision_id|relation_type|type', 'PROVISION_RELATES_TO'))
+SELECT dialect, name, header, n, ids::BIGINT AS ids, last FROM h JOIN x USING (name)"""
+ROLLUP_QUERIES["packaged_tables"] = (packaged_tables, PACKAGED_SQL)

@@ -94,3 +94,15 @@ def test_preview(spark):
 def test_empty(spark):
     assert repaired(spark, None, "", "  \n ") == ["", "", ""]
     assert scans.preview_corrections(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    from corpusloom.functions.text import tokens
+    from corpusloom.plans.scan_queries import lexicon_matches
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = {r.w for r in docs.select(scans.F.explode(tokens(docs.text, [])).alias("w")).distinct().collect()}
+    got = {(r.word, r.match, r.ratio) for r in lexicon_matches(spark, sf).collect()}
+    want = {(w, m, round(difflib.SequenceMatcher(a=m, b=w).ratio(), 6)) for w in words for m in difflib.get_close_matches(w, sorted(LEXICON), n=1, cutoff=scans.REPAIR_RATIO)}
+    assert got == want
