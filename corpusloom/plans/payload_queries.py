@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.shared import Tables
-from corpusloom.operators import payloads, prelabel
+from corpusloom.operators import payloads, prelabel, provisions
 
 from .annotation_queries import _ENDS, _ENTITIES_SQL, _sentences
-from .standins import table
+from .standins import DOCUMENTS_SQL, documents, table
 
 
 def case_bundles(spark, sf):
@@ -104,3 +107,73 @@ PAYLOAD_QUERIES = {
     "response_texts": (response_texts, RESPONSE_SQL),
     "shown_values": (shown_values, SHOWN_SQL),
 }
+
+
+def _stored(spark, sf):
+    """Line items as provisions of their suppliers, with the first of an order as the parent of the others."""
+    o, n = F.col("l_orderkey") * 10, F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("document_id"), (o + n).alias("provision_id"), F.when(n > 1, o + 1).alias("parent_provision_id"), F.col("l_returnflag").alias("provision_level"))
+
+
+def _cleared(spark, sf):
+    return table(spark, sf, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("document_id"))
+
+
+def replaced_provisions(spark, sf):
+    """Every tenth supplier's provisions go; every twentieth gets three new ones, of which the last names a parent that there is not."""
+    given = F.array(*(F.struct(F.lit(i).alias("index"), F.lit(p).cast("int").alias("parent_index"), F.lit(level).alias("provision_level")) for i, p, level in ((1, None, "article"), (2, 1, "clause"), (3, 5, "point"))))
+    new = table(spark, sf, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("document_id"), F.explode(given).alias("g")).select("document_id", "g.*")
+    return provisions.replace_provisions(_stored(spark, sf), new, _cleared(spark, sf))
+
+
+def replaced_relations(spark, sf):
+    """Relations between suppliers' provisions that outlive the replacement."""
+    k = F.col("o_orderkey")
+    r = table(spark, sf, "orders").select(k.alias("relation_id"), F.when(k % 9 != 0, k % 97).alias("source_document_id"), (k * 3 % 101).alias("target_document_id"))
+    return provisions.cleared_relations(r, _cleared(spark, sf))
+
+
+def case_graphs(spark, sf):
+    """Latest orders of customers as runs, with graphs that are missing, broken, no object, or sound."""
+    k = F.col("o_orderkey")
+    node = F.struct(F.lit("issue").alias("id"), k.alias("n"))
+    sound = F.to_json(F.struct(F.array_repeat(node, (k % 5).cast("int")).alias("nodes"), F.array(F.lit("e")).alias("edges"), F.col("o_orderpriority").alias("domain")))
+    graph = F.when(k % 4 == 0, "").when(k % 4 == 1, "{broken").when(k % 4 == 2, "[1]").otherwise(sound)
+    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), k.alias("id"), F.col("o_orderdate").alias("updated_at"), graph.alias("graph_json"))
+    cases = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("title"))
+    out = provisions.case_graphs(cases, runs)
+    return out.select("case_id", "title", "status", "run_id", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), "domain", "intent")
+
+
+def catalog_filters(spark, sf):
+    """Documents that each choice of status and domain shows."""
+    d = documents(spark, sf).select("id", (F.col("legal_status") == "active").alias("is_active"), "legal_domain")
+    out = [d.where(provisions.catalog_filter(s, x, F.col("is_active"), F.col("legal_domain"))).select("id", F.lit(f"{s} {x}").alias("choice")) for s in ("all", "active", "inactive") for x in ("all", "de")]
+    return reduce(DataFrame.unionByName, out)
+
+
+PAYLOAD_QUERIES |= {
+    "replaced_provisions": (
+        replaced_provisions,
+        """WITH s AS (SELECT l_suppkey AS d, l_orderkey * 10 + l_linenumber AS p, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + 1 END AS up, l_returnflag AS level FROM lineitem),
+        n AS (SELECT s_suppkey AS d, i, (SELECT max(p) FROM s) + row_number() OVER (ORDER BY s_suppkey, i) AS p FROM supplier, (SELECT unnest([1, 2, 3]) AS i) WHERE s_suppkey % 20 = 0)
+        SELECT d AS document_id, p AS provision_id, up AS parent_provision_id, level AS provision_level FROM s WHERE d NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)
+        UNION ALL SELECT d, p, CASE WHEN i = 2 THEN p - 1 END, CASE i WHEN 1 THEN 'article' WHEN 2 THEN 'clause' ELSE 'point' END FROM n""",
+    ),
+    "replaced_relations": (
+        replaced_relations,
+        """WITH r AS (SELECT o_orderkey AS relation_id, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 97 END AS source_document_id, o_orderkey * 3 % 101 AS target_document_id FROM orders), g AS (SELECT s_suppkey AS d FROM supplier WHERE s_suppkey % 10 = 0)
+        SELECT * FROM r WHERE NOT EXISTS (FROM g WHERE d = source_document_id) AND NOT EXISTS (FROM g WHERE d = target_document_id)""",
+    ),
+    "case_graphs": (
+        case_graphs,
+        """WITH r AS (SELECT o_custkey AS c, max(struct_pack(t := o_orderdate, k := o_orderkey)).k AS k FROM orders GROUP BY 1)
+        SELECT c_custkey AS case_id, c_name AS title, CASE WHEN k IS NULL OR k % 4 = 0 THEN 'empty' WHEN k % 4 = 1 THEN 'invalid_json' ELSE 'ready' END AS status, CASE WHEN k % 4 > 1 THEN k END AS run_id, CASE WHEN k % 4 = 3 THEN k % 5 ELSE 0 END::INTEGER AS n_nodes,
+            CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END::INTEGER AS n_edges, CASE WHEN k % 4 = 3 THEN o_orderpriority END AS domain, NULL::VARCHAR AS intent FROM customer LEFT JOIN r ON c = c_custkey LEFT JOIN orders ON o_orderkey = k""",
+    ),
+    "catalog_filters": (
+        catalog_filters,
+        f"""WITH {DOCUMENTS_SQL}, c(s, x) AS (VALUES ('all', 'all'), ('all', 'de'), ('active', 'all'), ('active', 'de'), ('inactive', 'all'), ('inactive', 'de'))
+        SELECT id, s || ' ' || x AS choice FROM kd, c WHERE (s = 'all' OR (s = 'active') = coalesce(legal_status = 'active', false)) AND (x = 'all' OR legal_domain = x)""",
+    ),
+}

@@ -1,7 +1,7 @@
 import datetime
 import json
 
-from corpusloom.operators import payloads
+from corpusloom.operators import payloads, provisions
 
 
 def test_bundle(spark):
@@ -46,3 +46,22 @@ def test_answers_and_shown_values(spark):
     df = spark.createDataFrame(rows, "v string, want array<string>")
     got = df.select(payloads.shown(df.v).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_replaced_provisions(spark):
+    stored = spark.createDataFrame([(1, 10, None, "a"), (1, 11, 10, "b"), (2, 20, None, "a"), (3, 5, None, "x")], "document_id long, provision_id long, parent_provision_id long, level string")
+    new = spark.createDataFrame([(2, 2, 1, "n2"), (2, 1, 2, "n1"), (4, 1, None, "m"), (1, 1, None, "not cleared")], "document_id long, index int, parent_index int, level string")
+    cleared = spark.createDataFrame([(2,), (4,), (3,)], "document_id long")
+    got = {tuple(r) for r in provisions.replace_provisions(stored, new, cleared).collect()}
+    assert got == {(1, 10, None, "a"), (1, 11, 10, "b"), (2, 21, None, "n1"), (2, 22, 21, "n2"), (4, 23, None, "m")}
+    relations = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, None, 1)], "relation_id long, source_document_id long, target_document_id long")
+    assert {r.relation_id for r in provisions.cleared_relations(relations, cleared).collect()} == {1, 4}
+    assert provisions.replace_provisions(stored.limit(0), new.limit(0), cleared).count() == 0
+
+
+def test_case_graphs(spark):
+    cases = spark.createDataFrame([(i, f"c{i}") for i in range(5)], "case_id long, title string")
+    t = lambda d: datetime.datetime(2025, 1, d)
+    runs = spark.createDataFrame([(1, 1, t(1), '{"nodes": [1]}'), (1, 2, t(2), '{"nodes": [1, {"id": 2}], "intent": "x"}'), (2, 3, t(1), "{"), (3, 4, t(1), None), (4, 5, t(1), "[]")], "case_id long, id long, updated_at timestamp, graph_json string")
+    rows = {r.case_id: r for r in provisions.case_graphs(cases, runs).selectExpr("case_id", "status", "run_id", "size(nodes) n", "intent").collect()}
+    assert [(rows[i].status, rows[i].run_id, rows[i].n) for i in range(5)] == [("empty", None, 0), ("ready", 2, 2), ("invalid_json", None, 0), ("empty", None, 0), ("ready", 5, 0)] and rows[1].intent == "x"
