@@ -259,7 +259,9 @@ def fallback_chunks(docs: DataFrame, max_words: int = 320, target_words: int = 2
     pieces' numbers of words and borders go to Python, which answers with the places to cut.
     """
     grammar = Grammar(clause_digits=3)
-    rows = docs.select("doc_id", _pieces(text_segments(F.col("text")), max_words).alias("pieces")).where(F.size("pieces") > 0)
+    # a test of the text, since one of its pieces would cut it a second time
+    written = docs.where(F.col("text").rlike(r"(?U)[^\s\x1C-\x1E]"))
+    rows = written.select("doc_id", _pieces(text_segments(F.col("text")), max_words).alias("pieces"))
     # cheap tests first: most lines are no border
     border = lambda x: F.endswith(x, F.lit(":")) | (F.length(x) <= TITLE_CHARS) & _upper(x) | x.rlike(POINT) | x.rlike(PART) | x.rlike(CHAPTER) | x.rlike(SECTION) | x.rlike(ARTICLE) | grammar.clause(x)
     rows = rows.withColumns({"words": F.transform("pieces", lambda x: F.size(F.split(x, " "))), "borders": F.transform("pieces", border)})
@@ -270,9 +272,17 @@ def fallback_chunks(docs: DataFrame, max_words: int = 320, target_words: int = 2
     return out.select("doc_id", (F.col("at") + 1).alias("chunk_index"), F.when(F.length(first) >= 12, F.substring(first, 1, 120)).alias("section_title"), "content")
 
 
+_BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+_BLANK = rf"[\s&&[^{_BREAKS}]]"
+# the beginnings of PART, CHAPTER, SECTION, ARTICLE, ROMAN and OUTLINE in one pattern, so that a text is read once
+_STRUCTURE = (
+    rf"(?iU)(?:^|[{_BREAKS}]){_BLANK}*(?:(?:PHẦN|Phan|han|Chương|Chuong|huong|Mục|Muc|uc){_BLANK}+[^\s]|(?:Điều|Dieu|ieu){_BLANK}+[0-9]|[IVXLC]+\.|[0-9]{{1,3}}[.\-:])"
+)
+
+
 def is_structured(text: Column) -> Column:
     """Some line of the text is a heading, an article or a numbered outline; the first of these opens a unit."""
-    return F.exists(text_segments(text), lambda x: Grammar(clause_digits=3).classify(x) != "body")
+    return text.rlike(_STRUCTURE)
 
 
 def build_chunks(docs: DataFrame) -> DataFrame:
