@@ -133,13 +133,18 @@ def infer(docs: DataFrame, day: Column) -> DataFrame:
     return out.withColumn("legal_status", status_of(text, F.col("effective_date"), F.col("expiry_date"), day))
 
 
+MOST_CATEGORIES = 1000
+
+
 def domain_scores(docs: DataFrame, categories: DataFrame) -> DataFrame:
     """Best category (slug, name, description, position) of each text: 4 per name or description, 3 per hint; first of equals.
 
-    Categories are a fixed small dimension.
+    Categories are a small dimension: more than MOST_CATEGORIES raise, since each is tried on each text.
     """
+    if categories.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
+        raise ValueError(f"there are at most {MOST_CATEGORIES} categories")
     hints = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in DOMAIN_HINTS.items() for x in kv))
-    rows = docs.select("doc_id", fold(F.col("text")).alias("f")).join(F.broadcast(categories.limit(1000)), F.lit(True))
+    rows = docs.select("doc_id", fold(F.col("text")).alias("f")).join(F.broadcast(categories), F.lit(True))
     named = sum((F.when((fold(F.coalesce(F.col(c), F.lit(""))) != "") & F.contains(F.col("f"), fold(F.col(c))), 4).otherwise(0) for c in ("name", "description")), F.lit(0))
     hinted = F.aggregate(F.coalesce(F.try_element_at(hints, F.col("slug")), F.array().cast("array<string>")), F.lit(0), lambda s, h: s + F.when(F.contains(F.col("f"), h), 3).otherwise(0))
     rows = rows.withColumn("score", named + hinted)

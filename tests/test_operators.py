@@ -1,6 +1,6 @@
 import datetime
-import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
@@ -131,3 +131,12 @@ def test_editing(spark):
     assert x.select(editing.drop_blank_lines(F.col("x")).alias("y")).first().y.count("\n") == 3
     assert x.select(editing.replace_all(F.col("x"), "ĐIỀU 1.", "$1").alias("y")).first().y.split("\n")[3] == "$1 A"
     assert x.select(editing.scanned_lines(F.lit("DIEU 1 Pham vi KHOAN 1 Noi dung")).alias("y")).first().y == "DIEU 1 Pham vi\nKHOAN 1 Noi dung"
+
+
+def test_domains_by_category(spark):
+    d = spark.createDataFrame([(1, "Về hợp đồng lao động và tiền lương"), (2, "khác")], "doc_id long, text string")
+    c = spark.createDataFrame([("dat-dai", "Đất đai", None, 0), ("lao-dong", "Lao động", "việc làm", 1)], "slug string, name string, description string, position int")
+    assert {r.doc_id: (r.legal_domain, r.score) for r in metadata.domain_scores(d, c).collect()} == {1: ("lao-dong", 13), 2: ("dat-dai", 0)}
+    many = spark.range(metadata.MOST_CATEGORIES + 1).selectExpr("cast(id as string) as slug", "'x' as name", "'y' as description", "id as position")
+    with pytest.raises(ValueError):
+        metadata.domain_scores(d, many)
