@@ -117,3 +117,12 @@ def test_top_k_tells_rows_apart(spark):
 def test_query_keeps_every_page(spark):
     got = queries.op7_url_filter_sweep(spark, "/root/testdata/sf0.01")
     assert got.count() == 250 and got.where(F.col("verdict") == "block").count() > 0
+
+
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    urls = ("http://a.net/de/1", "http://net/de/x", "http://example.net/de/8", "http://x.example.net/de/7", "http://com/en/1", "http://a.example.com/en/7", "http://b.org/es/", "http://b.org/en/")
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: (x.rule, x.verdict) for x in queries.op7_url_filter_sweep(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(urls))] == [
+        ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block"), (None, "allow"),
+    ]
