@@ -48,3 +48,14 @@ def test_null_safe_lookup_does_not_pair_all_rows_without_clause(spark, tmp_path)
     out = catalog.queries()["null_safe_lookup"](spark, str(tmp_path))
     assert out.count() == n and out.where("p_partkey = 0").count() == n
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+def test_answers_that_are_cut_off_are_broken_whatever_their_title(spark, tmp_path):
+    said = [None, "", "x" * 14, "Enan thly to thti.", "y" * 18, "z" * 21, 'a "quoted" word', "w" * 60]
+    rows = [(i, turn, "user", said[(i + turn) // 7 % len(said)]) for i in range(120) for turn in (0, 1)]
+    write(spark, tmp_path, conversations=(rows, TALK))
+    for name in ("guarded_metadata", "quarantined_answers", "sanitised_provisions"):
+        assert same_as_sql(spark, tmp_path, name)
