@@ -59,3 +59,10 @@ def test_answers_that_are_cut_off_are_broken_whatever_their_title(spark, tmp_pat
     write(spark, tmp_path, conversations=(rows, TALK))
     for name in ("guarded_metadata", "quarantined_answers", "sanitised_provisions"):
         assert same_as_sql(spark, tmp_path, name)
+
+
+def test_structure_counts_of_short_statutes(spark, tmp_path):
+    rows = [(i, "abc " * (i // 9)) for i in range(600)]
+    write(spark, tmp_path, documents=(rows, "doc_id long, text string"))
+    got = same_as_sql(spark, tmp_path, "structure_counts")
+    assert {r[4] for r in got} >= {75.0, 85.0}
