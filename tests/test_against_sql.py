@@ -66,3 +66,11 @@ def test_structure_counts_of_short_statutes(spark, tmp_path):
     write(spark, tmp_path, documents=(rows, "doc_id long, text string"))
     got = same_as_sql(spark, tmp_path, "structure_counts")
     assert {r[4] for r in got} >= {75.0, 85.0}
+
+
+def test_facts_of_one_place_are_told_in_order_of_key_and_value(spark, tmp_path):
+    lines = [(1, 1, 1, key, value) for key in "RNA" for value in "OF"]
+    for turn in (lines, lines[::-1]):
+        write(spark, tmp_path, lineitem=(turn, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string"), part=([(1,)], "p_partkey long"))
+        got = catalog.queries()["case_facts_dedupe"](spark, str(tmp_path)).orderBy("place").collect()
+        assert [(r.fact_key, r.fact_value) for r in got] == [("A", "F"), ("A", "O"), ("N", "F")]
