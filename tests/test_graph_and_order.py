@@ -124,3 +124,23 @@ def test_packing_against_a_fold(spark):
     rows = structure.fallback_chunks(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id", "chunk_index").collect()
     got = [[len(x.content.split("\n")) for x in rows if x.doc_id == i] for i in range(30)]
     assert got == want
+
+
+def test_concept_graph_meets_one_edge_of_a_type_and_deals_anchors(spark, monkeypatch):
+    r = random.Random(5)
+    roots = spark.createDataFrame([(i, i % 3) for i in range(60)], "query_id long, concept_id long")
+    raw = [(r.randrange(4), r.randrange(4), r.choice("XY"), r.random() < 0.8, i) for i in range(400)]
+    e = spark.createDataFrame(raw, "src long, dst long, edge_type string, is_active boolean, edge_id long")
+    links = spark.createDataFrame([(i % 4, i, i % 2 == 0) for i in range(200)], "concept_id long, document_id long, is_active boolean")
+    best = {}
+    for a, b, kind, ok, i in raw:
+        if ok:
+            best.setdefault((a, b, kind), i)
+    monkeypatch.setattr(graph, "ANCHORS_A_TASK", 50, raising=False)
+    nodes, kept, anchors = graph.concept_graph(roots, e, links, 1)
+    assert not {"edge_id"} - set(kept.columns) and "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    near = {(q, *key, i) for q in range(60) for key, i in best.items() if q % 3 in key[:2]}
+    assert sorted(tuple(x) for x in kept.select("query_id", "src", "dst", "edge_type", "edge_id").collect()) == sorted(near)
+    met = {(q, c) for q, a, b, _, _ in near for c in (a, b)} | {(q, q % 3) for q in range(60)}
+    want = sorted((q, c, d) for q, c in met for d in range(0, 200, 2) if d % 4 == c)
+    assert sorted(tuple(x) for x in anchors.select("query_id", "concept_id", "document_id").collect()) == want
