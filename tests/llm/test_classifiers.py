@@ -227,3 +227,14 @@ def test_quality_classifier(spark):
     assert [r.kept for r in quality_classifier.classify_quality(spark, docs).collect()] == [False, False]
     assert quality_classifier.classify_quality(spark, docs.limit(0)).count() == 0
     assert got.where(F.col("score").isNull()).count() == 0
+
+
+def test_rules_take_all_good_texts_as_their_target(spark, monkeypatch):
+    from corpusloom.llm import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "MAX_TRAINING_DOCS", 5)
+    monkeypatch.setattr(queries, "judge_quality", lambda spark, docs, target: seen.append(target) or docs)
+    queries.op8_ngram_ratio_rules(spark, "/root/testdata/sf0.01")
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    assert seen[0].count() == good.count() > 100
