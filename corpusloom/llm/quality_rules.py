@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, free_name
+from .store import free_name
 from .words import Words, groups, windows, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -135,16 +135,17 @@ def judge_quality(
 ) -> DataFrame:
     """``docs`` with the base counts, ``score``, ``base_failed`` and ``kept``; ``target`` has the column text."""
     raw = ngram_counts(docs.select(F.col(text_col).alias("text")), buckets)
-    halves = target.where(F.col("text").isNotNull()).select("text", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("counted"))
-    trusted = Scratch(spark, "quality-rules").save(halves, "target")
-    good = ngram_counts(trusted.where("counted").select("text"), buckets)
+    # read twice, never written: a table of the target's texts would be as large as they are
+    known = target.where(F.col("text").isNotNull()).select("text")
+    counted = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    good = ngram_counts(known.where(counted), buckets)
     weights = spark.sparkContext.broadcast(ratios(good, raw, prior))
 
     def score_target(frames):
         for f in frames:
             yield pd.DataFrame({"s": scores(f["text"], weights.value)})
 
-    mean, deviation = trusted.where("not counted").select("text").mapInPandas(score_target, "s double").agg(F.avg("s"), F.stddev_pop("s")).first()
+    mean, deviation = known.where(~counted).mapInPandas(score_target, "s double").agg(F.avg("s"), F.stddev_pop("s")).first()
     threshold = -1e300 if mean is None else mean - deviations * max(deviation, 1e-6)
 
     @F.pandas_udf(COUNTS)

@@ -238,3 +238,14 @@ def test_rules_take_all_good_texts_as_their_target(spark, monkeypatch):
     queries.op8_ngram_ratio_rules(spark, "/root/testdata/sf0.01")
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id").distinct()
     assert seen[0].count() == good.count() > 100
+
+
+def test_rules_keep_no_copy_of_the_target_and_never_broadcast_it(spark, monkeypatch, tmp_path):
+    from corpusloom.llm import queries
+
+    monkeypatch.setattr("corpusloom.llm.store.shared_dir", lambda spark: str(tmp_path))
+    seen, judge = [], queries.judge_quality
+    monkeypatch.setattr(queries, "judge_quality", lambda spark, docs, target: seen.append(target) or judge(spark, docs, target))
+    out = queries.op8_ngram_ratio_rules(spark, "/root/testdata/sf0.01")
+    assert out.count() == 1000 and not list(tmp_path.iterdir())
+    assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
