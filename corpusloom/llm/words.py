@@ -15,8 +15,8 @@ import numpy as np
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-BLOCK = 1 << 20
-GROUP_BYTES = 6 << 20
+BLOCK = 1 << 18
+GROUP_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -76,7 +76,7 @@ def hash_words(data: bytes, offsets: np.ndarray, table: np.ndarray = _SPACE_TABL
 
     ``lengths`` asks for the hashes of words' beginnings of so many bytes, too.
 
-    Blocks of about a megabyte keep the temporary arrays small for any length of text.
+    Blocks of about 256 kB keep the temporary arrays small for any length of text.
     """
     buf = np.frombuffer(data, dtype=np.uint8)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []

@@ -23,3 +23,18 @@ def test_windows():
     pairs = words.windows(h, 2)
     assert len(pairs) == 4 and pairs[0] == pairs[3] and len(set(pairs.tolist())) == 3
     assert len(words.windows(h, 6)) == 0
+
+
+def test_long_runs_of_texts_take_little_memory():
+    import tracemalloc
+
+    from corpusloom.llm.jaccard_join import shingle_sets
+
+    texts = [" ".join(f"w{i * j % 997}" for i in range(500)) for j in range(1, 3000)]
+    list(shingle_sets(texts[:1], 5))
+    tracemalloc.start()
+    for _ in shingle_sets(texts, 5):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
