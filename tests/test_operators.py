@@ -140,3 +140,11 @@ def test_domains_by_category(spark):
     many = spark.range(metadata.MOST_CATEGORIES + 1).selectExpr("cast(id as string) as slug", "'x' as name", "'y' as description", "id as position")
     with pytest.raises(ValueError):
         metadata.domain_scores(d, many)
+
+
+def test_costly_rows_are_dealt_to_all_cores(spark, tmp_path):
+    from corpusloom.functions.shared import spread
+
+    spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spread(spark.read.parquet(str(tmp_path / "one")), "id")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 3 * spark.sparkContext.defaultParallelism
