@@ -10,6 +10,7 @@ from zipfile import ZipFile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpusloom.functions.shared import spread
 from corpusloom.functions.text import LINE_BREAK
 from corpusloom.operators import rollups
 from corpusloom.sources import office
@@ -88,7 +89,7 @@ def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def docx_round_trip(spark, sf):
     """Paragraphs of documents that were made word-processor files; every fiftieth file is broken."""
     lines = F.split(F.regexp_replace("text", _XML, " "), LINE_BREAK)
-    made = table(spark, sf, "documents").select("doc_id", lines.alias("lines")).mapInPandas(_files, "path string, content binary")
+    made = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", lines.alias("lines")).mapInPandas(_files, "path string, content binary")
     rows = office.docx_paragraphs(made)
     return rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "pos", "text", F.col("error").isNotNull().alias("failed"))
 

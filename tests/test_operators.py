@@ -148,3 +148,10 @@ def test_costly_rows_are_dealt_to_all_cores(spark, tmp_path):
     spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "one"))
     rows = spread(spark.read.parquet(str(tmp_path / "one")), "id")
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_files_of_one_row_group_are_made_in_many_tasks(spark):
+    from corpusloom.plans.rollup_queries import docx_round_trip
+
+    out = docx_round_trip(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
