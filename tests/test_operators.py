@@ -155,3 +155,11 @@ def test_files_of_one_row_group_are_made_in_many_tasks(spark):
 
     out = docx_round_trip(spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefilter_keeps_texts_out_of_its_joins(spark):
+    words = spark.createDataFrame([(1, ["some", "term"], None), (2, ["m t"], None)], "query_id int, words array<string>, hints array<string>")
+    c = spark.createDataFrame([(i, 0, f"x{i} SOME term") for i in range(8)], "document_id int, chunk_index int, content string")
+    found = retrieval.prefilter(words, c, cap=5)
+    assert sorted((r.query_id, r.document_id) for r in found.collect()) == [(1, i) for i in range(5)]
+    assert "MapInPandas" in found._jdf.queryExecution().executedPlan().toString()
