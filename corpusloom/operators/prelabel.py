@@ -112,13 +112,16 @@ def tool_items(items: DataFrame, item_col: str = "item") -> DataFrame:
 
     Reviewed annotations come before predictions; an item without either, or that is no JSON, is a draft.
     """
-    x = F.from_json(F.col(item_col), _ITEM)
+    # a column of its own, so that an item is read once and not for each field
+    name = next(n for n in ("_item" + "_" * i for i in range(len(items.columns) + 1)) if n not in items.columns)
+    read = items.withColumn(name, F.from_json(F.col(item_col), _ITEM))
+    x = F.col(name)
     given = lambda key: F.coalesce(F.size(x[key]) > 0, F.lit(False))
     key = lambda k: x["data"][k]
     base = [F.substring(F.regexp_replace(key(k), r"(?s)^.*/", ""), 1, 255) for k in LINK_KEYS]
     status = F.when(given("annotations"), "reviewed").when(given("predictions"), "predicted").otherwise("draft")
     result = F.when(given("annotations"), x["annotations"][0]["result"]).when(given("predictions"), x["predictions"][0]["result"])
-    return items.select(
+    return read.select(
         *items.columns,
         key("document_id").try_cast("long").alias("document_id"),
         _filled(*map(key, NAME_KEYS), *base).alias("source_file_name"),

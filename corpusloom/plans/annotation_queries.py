@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.context import excerpt
+from corpusloom.functions.shared import spread
 from corpusloom.functions.text import fold
 from corpusloom.operators import answers as A
 from corpusloom.operators import prelabel as P
@@ -65,7 +66,7 @@ def _items(spark, sf):
     boxes = F.when(k % 4 == 0, F.concat(F.lit('"annotations": [{"result": '), result, F.lit("}]"))).when(k % 4 == 1, F.concat(F.lit('"annotations": [], "predictions": [{"result": '), result, F.lit("}]"))).otherwise('"annotations": []')
     named = F.when(k % 3 == 0, F.concat(F.lit('"file_name": "'), "c_name", F.lit('", '))).otherwise('"pdf": "a/b/c.pdf", ')
     item = F.concat(F.lit('{"data": {'), named, F.lit('"document_id": "'), k, F.lit('", "body": "B", "metadata_prelabels": [{"label": "TITLE", "normalized_value": "'), "c_name", F.lit('"}, {"label": "CODE"}]}, '), boxes, F.lit("}"))
-    return table(spark, sf, "customer").select("c_custkey", F.when(k % 4 == 3, "no item").otherwise(item).alias("item"))
+    return spread(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", F.when(k % 4 == 3, "no item").otherwise(item).alias("item"))
 
 
 def tool_documents(spark, sf):
