@@ -27,7 +27,7 @@ def _sentences(spark, sf):
         say(k % 5 == 0, F.lit("; sẽ bị "), "p_type"),
         F.lit("."),
     )
-    return table(spark, sf, "part").select(F.floor(k / 8).alias("doc_id"), F.floor(k / 2).alias("provision_id"), (k % 2 * 1000).alias("start"), content.alias("content"))
+    return spread(table(spark, sf, "part").select(F.floor(k / 8).alias("doc_id"), F.floor(k / 2).alias("provision_id"), (k % 2 * 1000).alias("start"), content.alias("content")), "doc_id")
 
 
 _ENTITIES_SQL = """
