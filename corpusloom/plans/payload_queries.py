@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.shared import Tables
+from corpusloom.functions.shared import Tables, spread
 from corpusloom.operators import payloads, prelabel, provisions
 
 from .annotation_queries import _ENDS, _ENTITIES_SQL, _sentences
@@ -42,13 +42,13 @@ FROM customer LEFT JOIN f ON c_custkey = f.case_id LEFT JOIN p ON c_custkey = p.
 
 def _proposals(spark, sf):
     """Entities and relations of the semantic prelabels, and a title per document without a span."""
-    found = prelabel.semantic_entities(_sentences(spark, sf))
+    found = Tables(spark, "proposals").save(prelabel.semantic_entities(_sentences(spark, sf)), "entities")
     attributes = F.create_map(F.lit("provision"), F.col("provision_id").cast("string"), F.lit("prediction_score"), F.concat(F.lit("0."), F.col("n").cast("string")))
     entities = found.select(F.col("doc_id").alias("document_id"), "entity_id", "label", "text", F.col("begin").alias("start"), "end", F.lit(None).cast("string").alias("normalized_value"), attributes.alias("attributes"))
-    docs = entities.select("document_id").distinct().select("document_id", F.concat(F.lit("d"), "document_id", F.lit(".txt")).alias("source_file_name"), F.lit("vi").alias("language"), F.concat(F.lit('Văn "bản" '), "document_id").alias("text"))
+    docs = spread(entities.select("document_id"), "document_id").distinct().select("document_id", F.concat(F.lit("d"), "document_id", F.lit(".txt")).alias("source_file_name"), F.lit("vi").alias("language"), F.concat(F.lit('Văn "bản" '), "document_id").alias("text"))
     none = F.lit(None).cast("long")
     title = docs.select("document_id", F.concat(F.lit("meta-"), "document_id").alias("entity_id"), F.lit("TITLE").alias("label"), "text", none.alias("start"), none.alias("end"), F.lit("").alias("normalized_value"), F.create_map(F.lit("display_name"), F.lit("Title")).alias("attributes"))
-    relations = prelabel.semantic_relations(found).select(F.col("doc_id").alias("document_id"), "relation_id", "relation_type", "source_id", "target_id", F.lit(0.75).alias("score"), F.create_map(F.lit("source"), F.lit("parser")).alias("attributes"))
+    relations = prelabel.semantic_relations(spread(found, "doc_id")).select(F.col("doc_id").alias("document_id"), "relation_id", "relation_type", "source_id", "target_id", F.lit(0.75).alias("score"), F.create_map(F.lit("source"), F.lit("parser")).alias("attributes"))
     broken = docs.select("document_id", F.concat(F.lit("bad-"), "document_id").alias("relation_id"), F.lit("CITES").alias("relation_type"), F.concat(F.lit("meta-"), "document_id").alias("source_id"), F.lit("nowhere").alias("target_id"), F.lit(0.5).alias("score"), F.create_map(F.lit("a"), F.lit("b")).alias("attributes"))
     return docs, entities.unionByName(title), relations.unionByName(broken)
 
