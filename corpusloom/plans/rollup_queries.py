@@ -10,7 +10,7 @@ from zipfile import ZipFile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.functions.shared import spread
+from corpusloom.functions.shared import bounded_batches, spread
 from corpusloom.functions.text import LINE_BREAK
 from corpusloom.operators import rollups
 from corpusloom.sources import office
@@ -80,10 +80,16 @@ def docx_bytes(lines: list[str]) -> bytes:
     return out.getvalue()
 
 
+#: files that a task holds before it passes them on
+FILES_AT_ONCE = 64
+
+
 def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        content = [docx_bytes(list(x)) if i % 50 else b"PK broken" for i, x in zip(batch["doc_id"], batch["lines"])]
-        yield pd.DataFrame({"path": [f"/in/{i}.docx" for i in batch["doc_id"]], "content": content})
+        for at in range(0, len(batch), FILES_AT_ONCE):
+            some = batch.iloc[at : at + FILES_AT_ONCE]
+            content = [docx_bytes(list(x)) if i % 50 else b"PK broken" for i, x in zip(some["doc_id"], some["lines"])]
+            yield pd.DataFrame({"path": [f"/in/{i}.docx" for i in some["doc_id"]], "content": content})
 
 
 def docx_round_trip(spark, sf):
@@ -98,6 +104,7 @@ def imported_files(spark, sf):
     """Documents as files of three kinds: imported, or failed alone."""
     i = F.col("doc_id")
     lines = F.split(F.regexp_replace("text", _XML, " "), LINE_BREAK)
+    bounded_batches(spark)
     d = table(spark, sf, "documents")
     office_files = d.where(i % 3 == 0).select("doc_id", lines.alias("lines")).mapInPandas(_files, "path string, content binary")
     plain = d.where(i % 3 != 0).select(F.concat(F.lit("/in/"), i, F.when(i % 3 == 1, ".TXT").otherwise(".pdf")).alias("path"), F.when(i % 7 == 0, F.unhex(F.lit("FF41"))).otherwise(F.col("text").cast("binary")).alias("content"))
