@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from corpusloom.functions.shared import Tables
 from corpusloom.functions.text import collapse, fold, words
 from corpusloom.operators.editing import LEXICON, scanned_lines, unconfused
 from corpusloom.operators.structure import ARTICLE, CHAPTER, CLAUSE, DECIMAL_CLAUSE, PART, POINT, SECTION, TITLE_CHARS, repair_line
@@ -339,6 +340,8 @@ def suggestions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("word", fold(unconfused(token))).withColumn("digits", token.rlike(r"(?U)\d"))
     quiet = (F.length("token") < 2) | (F.col("word") == "") | token.rlike(r"(?U)^\d{4}$") | fold(token).isin(*NO_WORDS)
     rows = rows.where(~quiet).where("structural or digits or word in ('" + "', '".join(MISREAD_YEARS) + "')")
+    # words are looked up and met again: without a table each use would read and fold all lines
+    rows = Tables(docs.sparkSession, "suggestions").save(rows, "rows")
     near = closest(rows.where(F.col("structural") | F.col("digits")).where(~F.col("word").isin(*SPELLINGS)), SPELLINGS, SUGGEST_RATIO)
     rows = rows.join(near, "word", "left")
 
@@ -362,7 +365,8 @@ def suggestions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def preview_corrections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, normalised, corrected, changed_tokens (all of them), suggestions (the first 120), review_required."""
-    fixed = repair_scans(docs, id_col, text_col).select(id_col, F.col(text_col).alias("text"))
+    # written, as a repair costs far more than reading it again for the tokens and for the corrected text
+    fixed = Tables(docs.sparkSession, "scans").save(repair_scans(docs, id_col, text_col).select(id_col, F.col(text_col).alias("text")), "fixed")
     found = suggestions(fixed, id_col, "text")
     order = F.row_number().over(Window.partitionBy(id_col).orderBy("line_number", "token_index"))
     ranked = found.withColumn("place", order)
