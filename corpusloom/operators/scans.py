@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from corpusloom.functions.context import computed_once
 from corpusloom.functions.shared import Tables
 from corpusloom.functions.text import collapse, fold, words
 from corpusloom.operators.editing import LEXICON, scanned_lines, unconfused
@@ -52,8 +53,6 @@ MISREAD_YEARS = ("am", "na", "nqm", "nm", "mam")
 NO_WORDS = ("qh15", "nd", "cp")
 NAMED_POINT = r"(Điểm|Diem|ĐIỂM|DIEM)\s+([a-zđ])\s+(.*?)(?=(?:\s+(?:Điểm|Diem|ĐIỂM|DIEM)\s+[a-zđ]\s+)|$)"
 WORD = "[A-Za-zÀ-ỹĐđ0-9/-]+"
-#: suggestions of one text that are shown
-MOST_SUGGESTIONS = 120
 REPAIR_RATIO, SUGGEST_RATIO = 0.84, 0.88
 
 
@@ -332,10 +331,10 @@ def suggestions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
     folded = fold(F.col("line"))
     lines = lines.withColumn("structural", is_structural(F.col("line")) | has_known_phrase(folded))
-    tokens = F.regexp_extract_all("line", F.lit(WORD), F.lit(0))
-    rows = lines.withColumn("tokens", tokens).select(id_col, "at", "structural", "tokens", F.posexplode("tokens").alias("token_index", "token"))
-    i = F.col("token_index")
-    rows = rows.withColumns({"before": F.get("tokens", i - 1), "after": F.get("tokens", i + 1)}).drop("tokens")
+    # a token goes with its neighbours, as a line of n tokens would be copied n times
+    beside = lambda tokens: F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.get(tokens, i - 1).alias("before"), F.get(tokens, i + 1).alias("after")))
+    lines = lines.select(id_col, "at", "structural", computed_once(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), beside).alias("tokens"))
+    rows = lines.select(id_col, "at", "structural", F.posexplode("tokens").alias("token_index", "t")).select(id_col, "at", "structural", "token_index", "t.*")
     token = F.col("token")
     rows = rows.withColumn("word", fold(unconfused(token))).withColumn("digits", token.rlike(r"(?U)\d"))
     quiet = (F.length("token") < 2) | (F.col("word") == "") | token.rlike(r"(?U)^\d{4}$") | fold(token).isin(*NO_WORDS)
@@ -364,7 +363,7 @@ def suggestions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def preview_corrections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, normalised, corrected, changed_tokens (all of them), suggestions (the first 120), review_required."""
+    """id_col, normalised, corrected, changed_tokens, suggestions (all of them), review_required."""
     # written, as a repair costs far more than reading it again for the tokens and for the corrected text
     fixed = Tables(docs.sparkSession, "scans").save(repair_scans(docs, id_col, text_col).select(id_col, F.col(text_col).alias("text")), "fixed")
     found = suggestions(fixed, id_col, "text")
@@ -373,7 +372,7 @@ def preview_corrections(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     item = F.struct("place", "line_number", "token_index", "original", "corrected", "confidence", "reason")
     key = F.struct("line_number", "token_index")
     told = ranked.groupBy(id_col).agg(
-        F.least(F.count("*"), F.lit(MOST_SUGGESTIONS)).alias("changed_tokens"), F.array_sort(F.collect_list(F.when(F.col("place") <= MOST_SUGGESTIONS, item))).alias("suggestions"),
+        F.count("*").cast("int").alias("changed_tokens"), F.array_sort(F.collect_list(item)).alias("suggestions"),
         F.map_from_entries(F.collect_list(F.struct(key, "corrected"))).alias("by_place"),
     )
 

@@ -15,3 +15,10 @@ def test_names_behind_the_fortieth_line_count(spark, tmp_path):
     tables(spark, tmp_path, ["alpha bravo\nx", "charlie\n" + "x\n" * 60 + "as alpha bravo says"])
     got = catalog.queries()["relation_classify"](spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.target_id, r.by_code) for r in got] == [(2, 1, False)]
+
+
+def test_suggestions_cover_whole_texts(spark, tmp_path):
+    tables(spark, tmp_path, ["xyz " * 200 + "cong hoa " * 100])
+    row = catalog.queries()["scan_suggestions"](spark, str(tmp_path)).first()
+    told = [x.split(":") for x in row.suggestions.split("|")]
+    assert row.changed_tokens == len(told) > 150 and max(int(t[1]) for t in told) > 350
