@@ -1,6 +1,7 @@
 """Queries that read whole texts and drop no candidates."""
 
 from corpusloom import catalog
+from corpusloom.operators import retrieval
 
 
 def tables(spark, folder, texts, **others):
@@ -22,3 +23,15 @@ def test_suggestions_cover_whole_texts(spark, tmp_path):
     row = catalog.queries()["scan_suggestions"](spark, str(tmp_path)).first()
     told = [x.split(":") for x in row.suggestions.split("|")]
     assert row.changed_tokens == len(told) > 150 and max(int(t[1]) for t in told) > 350
+
+
+MANY = 5_001
+
+
+def test_the_best_chunk_counts_behind_the_first_five_thousand(spark):
+    q = spark.createDataFrame([(1, "labour", ["fair labour", "labour"], None)], "query_id long, text string, hints array<string>, vector array<double>")
+    rows = [(i, 0, "labour x" if i < MANY else "fair labour labour " * 3, None, None, None, None, None, None, 0) for i in range(1, MANY + 1)]
+    c = spark.createDataFrame(rows, "document_id long, chunk_index int, content string, article_number string, clause_number string, point_number string, section_title string, citation_label string, vector array<double>, boost int")
+    got = retrieval.search(q, c, limit=1).collect()
+    # 6 times the word, 3 times the first hint, 6 times the second
+    assert [(r.document_id, r.lexical, r.score) for r in got] == [(MANY, 6 * 3 + 3 * 10 + 6 * 10, 46)]
