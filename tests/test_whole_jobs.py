@@ -35,3 +35,9 @@ def test_the_best_chunk_counts_behind_the_first_five_thousand(spark):
     got = retrieval.search(q, c, limit=1).collect()
     # 6 times the word, 3 times the first hint, 6 times the second
     assert [(r.document_id, r.lexical, r.score) for r in got] == [(MANY, 6 * 3 + 3 * 10 + 6 * 10, 46)]
+
+
+def test_an_answer_rests_on_the_best_of_all_documents(spark, tmp_path):
+    tables(spark, tmp_path, ["labour x"] * (MANY - 1) + ["labour " * 40], benchmark=([(5, "labour")], "item_id long, text string"))
+    row = catalog.queries()["question_flow"](spark, str(tmp_path)).first()
+    assert str(MANY) in [hit.split(":")[0] for hit in row.evidence.split("|")]
